@@ -11,6 +11,7 @@ import html
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,10 @@ LABELLED = """
 10 0.00 6 1.00 1 0.00 1 0 1 1
 90 0.40 30 0.10 30 0.00 1 0 0 1
 8 0.00 10 0.00 12 0.00 1 0 0 1
+4 0.00 3 0.00 2 0.00 1 0 0 1
+3 0.00 0 0.00 4 0.00 1 0 1 1
+5 0.00 3 0.00 0 0.00 1 0 0 1
+4 0.00 2 1.00 4 0.00 1 0 1 1
 5 0.00 200 0.00 8 0.00 1 0 0 1
 20 0.00 9 0.00 14 0.00 1 0 0 1
 3 1.00 40 0.00 45 0.00 1 0 0 1
@@ -216,8 +221,6 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     repeated and null ids are kept as they are. Broken markup is read as far as it goes: unclosed
     elements end with the page. Extra columns are ignored; an empty table gives an empty result.
     """
-    import pandas as pd
-
     tree = train_tree()
 
     @F.pandas_udf("string")
