@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .html_text import extract
+from .packing import pack
 from .quality import score_documents
+from .rans import round_trip
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +31,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
