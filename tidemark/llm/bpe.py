@@ -14,6 +14,7 @@ import json
 import os
 import unicodedata
 from array import array
+from functools import cached_property
 
 import numpy as np
 
@@ -32,6 +33,16 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class _Library:
+    """The library's tokenizer for ``self.path``, loaded when first asked for."""
+
+    path: str
+
+    @cached_property
+    def tokenizer(self):
+        return load_tokenizer(self.path)
+
+
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -58,6 +69,23 @@ class _Fragments:
             self.ids[fragment] = got = array(self.dtype.char, self.encode(fragment)).tobytes()
             self.held += len(fragment) + len(got) + 160
 
+    def encode_batch(self, texts: list[str], special, split, whole) -> list[np.ndarray]:
+        """Ids of each text, in groups of bounded size; texts with special tokens go to ``whole``."""
+        out: list = [None] * len(texts)
+        lo = 0
+        while lo < len(texts):
+            hi, n, parts = lo, 0, []
+            while hi < len(texts) and (hi == lo or n < 1_000_000):
+                parts.append(None if any(s in texts[hi] for s in special) else split(texts[hi]))
+                n += len(texts[hi])
+                hi += 1
+            self.learn({x for part in parts for x in part or ()})
+            get = self.ids.__getitem__
+            for i, part in zip(range(lo, hi), parts, strict=True):
+                out[i] = np.array(whole(texts[i]), self.dtype) if part is None else np.frombuffer(b"".join(map(get, part)), self.dtype)
+            lo = hi
+        return out
+
 
 def _ranked(token_bytes: dict[bytes, int], pattern: str):
     """The same merges as ranks, for the library that encodes single pieces fastest."""
@@ -72,16 +100,16 @@ def _ordered(merges: list, vocab: dict, base: int) -> bool:
     return all(vocab.get(a + b) == base + i for i, (a, b) in enumerate(pairs))
 
 
-class ForcedBoundaryBPE:
+class ForcedBoundaryBPE(_Library):
     """Encoder and decoder for a byte-level vocabulary file; ids equal the library's."""
 
-    def __init__(self, path: str, cache_bytes: int = 96_000_000):
-        self.tokenizer = load_tokenizer(path)
+    def __init__(self, path: str, cache_bytes: int = 64_000_000):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         chars = byte_of_char()
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if max(spec["model"]["vocab"].values(), default=0) < 65536 else np.dtype("<u4")
         self.token_bytes: list[bytes] = [b""] * (max(spec["model"]["vocab"].values(), default=0) + 1)
         inside = np.zeros(65536, bool)
         for token, i in spec["model"]["vocab"].items():
@@ -98,14 +126,30 @@ class ForcedBoundaryBPE:
         first, second = np.arange(65536) >> 8, np.arange(65536) & 255
         letters = np.isin(first, list(LETTERS)) & np.isin(second, list(LETTERS))
         self.cut = self.forced & (np.isin(second, list(WHITE)) | letters)
+        self._ranks = None
         if _ordered(spec["model"]["merges"], spec["model"]["vocab"], 256):
             ranks = {b: i for i, b in enumerate(self.token_bytes) if b and i not in self.special.values()}
-            piece = _ranked(ranks, BYTE_PATTERN).encode_ordinary
-            encode = lambda x: piece(x.decode())
+            self._ranks = _ranked(ranks, BYTE_PATTERN)
+            encode = self._fragment
         else:
-            encode = lambda x: self.tokenizer.encode(x.decode(), add_special_tokens=False).ids
+            encode = lambda x: self._whole(x.decode())
         self._fragments = _Fragments(encode, self.dtype, cache_bytes)
 
+    def _fragment(self, x: bytes) -> list[int]:
+        """Ids of one fragment; a word with or without a leading space, or a last mark, needs no pattern."""
+        core = x[1:] if x[:1] == b" " else x
+        if core.isalpha():
+            return self._ranks._core_bpe.encode_single_piece(x)
+        if core[:-1].isalpha() and core[-1] in b".,":
+            return [*self._ranks._core_bpe.encode_single_piece(x[:-1]), *self._ranks._core_bpe.encode_single_piece(x[-1:])]
+        return self._ranks.encode_ordinary(x.decode())
+
+    def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The same ids without cutting: fastest where fragments seldom repeat."""
+        if self._ranks is None:
+            return self.encode_batch(texts)
+        return [np.array(self._whole(t), self.dtype) if any(s in t for s in self.special) else self._ranks.encode_to_numpy(t, disallowed_special=()).astype(self.dtype) for t in texts]
+
     def fragments(self, text: str) -> list[bytes]:
         data = text.encode("utf-8")
         if len(data) < 2:
@@ -118,40 +162,26 @@ class ForcedBoundaryBPE:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Special tokens in a text are recognised as the library does by default."""
-        split = [None if any(s in t for s in self.special) else self.fragments(t) for t in texts]
-        out: list = [None] * len(texts)
-        lo = 0
-        while lo < len(texts):  # in groups of bounded size
-            hi, n = lo, 0
-            while hi < len(texts) and (hi == lo or n < 400_000):
-                n += len(split[hi] or ())
-                hi += 1
-            self._fragments.learn({x for part in split[lo:hi] for x in part or ()})
-            get = self._fragments.ids.__getitem__
-            for i in range(lo, hi):
-                if split[i] is None:
-                    out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype)
-                else:
-                    out[i] = np.frombuffer(b"".join(map(get, split[i])), self.dtype)
-                    split[i] = ()
-            lo = hi
-        return out
+        return self._fragments.encode_batch(texts, self.special, self.fragments, self._whole)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def decode(self, ids) -> str:
         return b"".join(map(self.token_bytes.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
 
 
-class WordSplitBPE:
+class WordSplitBPE(_Library):
     """Encoder for a vocabulary whose tokens never span white space: words are encoded apart, each distinct one once."""
 
-    def __init__(self, path: str, cache_bytes: int = 96_000_000):
+    def __init__(self, path: str, cache_bytes: int = 64_000_000):
         import regex
 
-        self.tokenizer = load_tokenizer(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.dtype = np.dtype("<u2") if max(spec["model"]["vocab"].values(), default=0) < 65536 else np.dtype("<u4")
         self._find = regex.compile(WORD_PATTERN).findall
         self._piece = None
         end = spec["model"].get("end_of_word_suffix")
@@ -171,30 +201,26 @@ class WordSplitBPE:
         """Ids of a text without white space. Latin words take the short way, all others the library's."""
         if self._piece is None or not (word.isascii() or (max(word) < "\u0250" and "\u0130" not in word and "\x85" not in word and "\xa0" not in word)):
             return self.tokenizer.encode(word, add_special_tokens=False).ids
-        pieces = self._find(unicodedata.normalize("NFC", word).lower())
+        low = word.lower()
+        if low.isalpha():
+            return self._piece(low.encode() + b"\xff")
+        if low[:-1].isalpha() and low[-1] in ".,":
+            return [*self._piece(low[:-1].encode() + b"\xff"), *self._piece(low[-1].encode() + b"\xff")]
+        pieces = self._find(unicodedata.normalize("NFC", low))
         if len(pieces) == 1:
             return self._piece(pieces[0].encode() + b"\xff")
         return [i for p in pieces for i in self._piece(p.encode() + b"\xff")]
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        lo = 0
-        while lo < len(texts):
-            hi, n, words = lo, 0, []
-            while hi < len(texts) and (hi == lo or n < 2_000_000):
-                t = texts[hi]
-                words.append(None if any(s in t for s in self.special) else t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-                n += len(t)
-                hi += 1
-            self._fragments.learn({x for part in words for x in part or ()})
-            get = self._fragments.ids.__getitem__
-            for i, part in zip(range(lo, hi), words, strict=True):
-                if part is None:
-                    out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype)
-                else:
-                    out[i] = np.frombuffer(b"".join(map(get, part)), self.dtype)
-            lo = hi
-        return out
+        """Ids of each text. Special tokens in a text are recognised as the library does by default."""
+        return self._fragments.encode_batch(texts, self.special, self.words, self._whole)
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 _loaded: dict = {}
