@@ -27,9 +27,9 @@ from .bpe import ForcedBoundaryBPE, encoder
 from .storage import bucketed, partitions, scratch_path
 
 PRECISION = 20
-LANES = 1024
-BLOCK_IDS = 1 << 20
-SEGMENT_STEPS = 512
+LANES = 4096
+BLOCK_IDS = 1 << 21
+SEGMENT_STEPS = 256
 MAGIC = 0x534E4152
 _LOW = np.uint64(1 << 31)
 _BITS = np.uint64(PRECISION)
@@ -164,7 +164,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id"
         kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [np.append(x, bpe.dtype.type(end_id)) for x in bpe.encode_batch(texts)]
+            ids = [np.append(x, bpe.dtype.type(end_id)) for x in bpe.encode_whole(texts)]
             doc = batch.column(0).to_pylist()
             known = np.array([x if x is not None else np.iinfo(np.int64).min for x in doc], np.int64)
             part = np.searchsorted(cuts, known, side="right")
