@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
+from .fingerprint import fingerprints
 from .html_text import extract
 from .packing import pack
 from .pii import KINDS, as_text, spans
@@ -41,6 +42,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
