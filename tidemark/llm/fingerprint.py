@@ -26,7 +26,7 @@ _MASK = (1 << 31) - 1
 _PAIR = (1 << 31) | 1
 TOKEN = r"\n|\S{1,16}"
 GRAM = r"(?=([^\n]{3}))"
-SHORT = 80
+SHORT = 24
 
 
 def split_elements(frame: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
