@@ -9,6 +9,7 @@ from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprints
 from .html_text import extract
+from .near_dedup import near_duplicates
 from .packing import pack
 from .pii import KINDS, as_text, spans
 from .quality import score_documents
@@ -61,6 +62,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
