@@ -15,6 +15,8 @@ from .pii import KINDS, as_text, spans
 from .quality import score_documents
 from .rans import round_trip
 
+from .repeats import remove_repeats
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -53,6 +55,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
