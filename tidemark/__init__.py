@@ -1,0 +1 @@
+"""tidemark: point-in-time panel analytics on Spark DataFrames."""
