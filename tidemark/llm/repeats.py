@@ -27,7 +27,7 @@ from .shingles import mix
 from .storage import materialize, partitions
 
 LENGTH = 200
-ANCHOR = 16
+ANCHOR = 64
 CHUNK = 1 << 20
 INDEX_BYTES = 2_000_000
 GROUP_BYTES = 4_000_000

@@ -65,8 +65,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(_FIRST):
         key = key << 9 | np.where(left > i, padded[i : i + n], 0)
-    order = np.argsort(key, kind="stable")  # ties by position, final for suffixes that have ended
-    key, ended = key[order], left[order] < _FIRST
+    order = np.argsort(key)
+    ended = left[order] < _FIRST  # equal keys are then equal strings: their order, by position, is final
+    ids = order[ended]
+    order[ended] = ids[np.lexsort((ids, key[ids]))]
+    key = key[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | ended[1:] | ended[:-1]])
     first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
     rank = np.empty(n + 1, np.int64)
@@ -75,11 +78,11 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     tied = np.flatnonzero(~(fresh & np.concatenate([fresh[1:], [True]])))
     while len(tied):
         ids = order[tied]
-        one, two = rank[ids], rank[np.minimum(ids + width, n)]
-        by = np.lexsort((two, one))
-        ids, one, two = ids[by], one[by], two[by]
+        both = rank[ids] * (n + 2) + rank[np.minimum(ids + width, n)] + 1
+        by = np.argsort(both)
+        ids, both = ids[by], both[by]
         order[tied] = ids
-        fresh = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
+        fresh = np.concatenate([[True], both[1:] != both[:-1]])
         rank[ids] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))]
         tied = tied[~(fresh & np.concatenate([fresh[1:], [True]]))]
         width *= 2
