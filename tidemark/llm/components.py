@@ -1,34 +1,73 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components: union-find in one task for few edges, else repeated hooking and contraction.
+
+Each pass orients every edge from its end of higher hashed rank to the lower one, lets each node hook to
+its lowest neighbour, follows the resulting forest to its roots by pointer doubling, and contracts.
+No neighbourhood is gathered; tables in the shared folder cut the lineage.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import materialize
 
+FEW_EDGES = 200_000
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node in ``links`` (u, v); root is the smallest node of its component.
-
-    Each step joins edges with the minimum of each neighbourhood, so no neighbourhood is gathered and
-    hot nodes are spread by skew-join splitting. Tables in the shared folder cut the lineage.
-    """
-    edges = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    mark = None
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    """The same for at most FEW_EDGES edges."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                parent[max(a, b)] = min(a, b)
+        found = np.array([(x, find(x)) for x in list(parent)], np.int64).reshape(-1, 2)
+        found = found[found[:, 0] != found[:, 1]]
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
+def _to_roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, root) whose roots have no row."""
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # now u > v: small-star links the lower neighbours of u, and u itself, to the lowest
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges = materialize(small.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).union(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+        up = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        jumped = materialize(parents.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "parents")
+        parents = jumped.select("node", "root")
+        if jumped.where("moved").isEmpty():
+            return parents
+
+
+def relabel(frame: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """``column`` replaced by its root where ``labels`` (node, root) has one."""
+    known = labels.select(F.col("node").alias(column), F.col("root").alias("_root"))
+    return frame.join(known, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of every linked node that is not itself its component's root; nodes are longs."""
+    edges = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.count() <= FEW_EDGES:
+        return materialize(_in_one_task(edges), "labels")
+    labels, turn = None, 0
+    while not edges.isEmpty():
+        end = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731
+        ends = F.array_sort(F.array(end("u"), end("v")))
+        hooks = edges.select(ends.alias("e")).groupBy(F.col("e")[1]["id"].alias("node")).agg(F.min(F.col("e")[0]["rank"]).alias("rank"), F.min_by(F.col("e")[0]["id"], F.col("e")[0]["rank"]).alias("root"))
+        step = _to_roots(hooks.select("node", "root"))
+        labels = step if labels is None else materialize(relabel(labels, step, "root").unionByName(step), "labels")
+        edges = relabel(relabel(edges, step, "u"), step, "v").where("u <> v")
+        edges = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
+        turn += 1
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")) if labels is None else labels

@@ -5,9 +5,10 @@ a candidate if it shares a key in both collections, that is, a table keyed by a
 
 No group emits all its pairs. In each round, every key group that still spans several components
 names one leader; members outside its component that share a table with it give one candidate each,
-links are confirmed, and components merge. Groups that lie within one component drop out. When a round
-finds no link, what is left is enumerated table by table, only between different components, so no
-candidate goes untested.
+links are confirmed, and components merge. Groups that lie within one component drop out. When rounds
+find little more, the rest is tested table by table, only between different components, so no candidate
+goes untested. Parity words give an exact bound on how far two sets differ; it is part of the join
+condition, so pairs that cannot be links are never emitted.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shingles import TensorHasher, digest, shingle_set
+from .components import components, relabel
+from .shingles import PARITY_WORDS, TensorHasher, digest, parity, shingle_set
 from .storage import bucketed, materialize, partitions
 
 GROUPS, ROWS = 14, 4
@@ -28,6 +29,8 @@ PERCENT = 85
 LAST = 2**63 - 1
 HASH_BYTES = 6
 SALT_EDGES = 512
+LAST_ROUND = 0.05  # rounds end when one finds fewer links a live node
+WORDS = [f"p{i}" for i in range(PARITY_WORDS)]
 BITMAP_BITS = 1 << 22
 
 
@@ -43,21 +46,22 @@ def _signatures(docs: DataFrame, groups: int, rows: int) -> DataFrame:
                 keys = []
                 for s, g in zip(sets, names, strict=True):
                     if g is None:
-                        keys.append((None, None))
+                        keys.append((None, None, np.zeros(PARITY_WORDS, np.int64)))
                         continue
                     if g not in known:
                         if len(known) >= 2000:
                             known.clear()
-                        known[g] = hasher.keys(s)
+                        known[g] = (*hasher.keys(s), parity(s))
                     keys.append(known[g])
                 arrays = [pa.array([k[i] for k in keys], pa.list_(pa.int64())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), *arrays], names=["d", "n", "g", "a", "b"])
+                words = [pa.array(w) for w in np.array([k[2] for k in keys], np.int64).reshape(-1, PARITY_WORDS).T]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()), *arrays, *words], names=["d", "n", "g", "a", "b", *WORDS])
 
-    return docs.mapInArrow(run, "d long, n long, g binary, a array<long>, b array<long>")
+    return docs.mapInArrow(run, "d long, n long, g binary, a array<long>, b array<long>" + "".join(f", {w} long" for w in WORDS))
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(g, hashes) of the nodes in ``wanted`` (g, d), bucketed by g. Texts are read again, not shuffled.
+    """(node, hashes) of the nodes in ``wanted`` (node, g, d), bucketed by node. Texts are read again, not shuffled.
 
     A bitmap of fixed size spares most other documents; the join with ``wanted`` makes it exact.
     """
@@ -80,8 +84,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found = docs.select("text", spot.alias("spot")).mapInArrow(run, "g binary, hashes binary")
     n = partitions(docs.sparkSession)
-    found = found.join(wanted.select("g"), "g", "left_semi").dropDuplicates(["g"])
-    return bucketed(found.repartition(n, "g"), "shingle_sets", "g", n)
+    found = found.join(wanted.select("g", "node"), "g").select("node", "hashes").repartition(n, "node").dropDuplicates(["node"])
+    return bucketed(found, "shingle_sets", "node", n)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
@@ -99,8 +103,8 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / SALT_EDGES).alias("salts"))
     salted = pairs.join(degree, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
     salted = materialize(salted.select("u", "v", "salt"), "salted")
-    members = salted.join(sets.withColumnRenamed("g", "v"), "v").select("u", "salt", "v", "hashes")
-    leaders = salted.select("u", "salt").distinct().join(sets.withColumnRenamed("g", "u"), "u").select("u", "salt", F.lit(None).cast("binary").alias("v"), "hashes")
+    members = salted.join(sets.withColumnRenamed("node", "v"), "v").select("u", "salt", "v", "hashes")
+    leaders = salted.select("u", "salt").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "hashes")
     n = partitions(pairs.sparkSession)
     flow = members.unionByName(leaders).repartition(n, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
@@ -121,9 +125,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if 100 * shared >= percent * (len(own) + len(hashes) - shared):
                     us.append(u[0])
                     vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], names=["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return flow.mapInArrow(run, "u binary, v binary")
+    return flow.mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
@@ -136,22 +140,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = materialize(_signatures(source, groups, rows), "signatures")
-    nodes = materialize(
-        signed.where("g is not null").groupBy("g").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes"
-    )
-    keys = nodes.select("g", F.explode("a").alias("key"))
+    nodes = signed.where("g is not null").groupBy("g").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), *(F.first(w).alias(w) for w in WORDS))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", F.explode("a").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    live = materialize(keys.join(shared, "key").select("g", "key"), "live")
-    labels = None
+    live = materialize(keys.join(shared, "key").select("node", "key"), "live")
+    found = nodes.select("g", "node", "d")
     if not live.isEmpty():
-        active = nodes.join(live.select("g").distinct(), "g", "left_semi")
-        sets = _full_sets(source, active.select("g", "d"))
-        labels = _merge(live, active, sets, percent)
-    found = nodes.select("g", F.col("g").alias("root"), "d")
-    if labels is not None:
-        found = nodes.join(labels.select(F.col("node").alias("g"), "root"), "g", "left").select("g", F.coalesce("root", "g").alias("root"), "d")
-    lowest = found.groupBy("root").agg(F.min("d").alias("component_id"))
-    named = found.join(lowest, "root").select("g", "component_id")
+        active = materialize(nodes.join(live.select("node").distinct(), "node", "left_semi"), "active")
+        labels = _merge(live, active, _full_sets(source, active.select("node", "g", "d")), percent)
+        if labels is not None:
+            found = relabel(found, labels, "node")
+    lowest = found.groupBy("node").agg(F.min("d").alias("component_id"))
+    named = found.join(lowest, "node").select("g", "component_id")
     out = signed.select("d", "n", "g").join(named, "g", "left").withColumn("component_id", F.coalesce("component_id", "d"))
     return out.select(
         F.nullif("d", F.lit(LAST)).alias("doc_id"),
@@ -161,50 +162,58 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _merge(live: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of linked nodes."""
-    facts = active.select("g", "n", "b")
-    links, labels, turn = None, None, 0
+def _possible(left: str, right: str, percent: int) -> Column:
+    """Can two nodes (n and parity words, prefixed) be similar enough? An exact bound on their sets' difference, never wrong about a link."""
+    n, m = F.col(f"{left}n"), F.col(f"{right}n")
+    differ = sum((F.bit_count(F.col(left + w).bitwiseXOR(F.col(right + w))) for w in WORDS), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
-    def labelled(frame: DataFrame) -> DataFrame:
-        """Only the key groups that span several components, with each member's component."""
-        known = frame.select("g", "key")
-        if labels is not None:
-            known = known.join(labels.select(F.col("node").alias("g"), "root"), "g", "left").select("g", "key", F.coalesce("root", "g").alias("root"))
-        else:
-            known = known.withColumn("root", F.col("g"))
-        known = materialize(known, "labelled")
-        mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        return materialize(known.join(mixed, "key"), "mixed")
-
-    def fit(pairs: DataFrame, *, tables: bool) -> DataFrame:
-        """Pairs (u, v) of possible sizes that share a key of the second collection."""
-        left = facts.select(F.col("g").alias("u"), F.col("n").alias("nu"), F.col("b").alias("bu"))
-        right = facts.select(F.col("g").alias("v"), F.col("n").alias("nv"), F.col("b").alias("bv"))
-        joined = pairs.join(left, "u").join(right, "v").where(100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
-        return (joined.where(F.arrays_overlap("bu", "bv")) if tables else joined).select("u", "v")
+
+def _merge(live: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, root) of linked nodes; ``live`` holds (node, key) for the keys of the first collection that nodes share."""
+    facts = active.select("node", "n", "b", *WORDS)
+    live = live.withColumn("root", F.col("node"))
+    labels, turn, more = None, 0, True
+
+    def named(prefix: str, *columns: str) -> DataFrame:
+        return facts.select(*(F.col(c).alias(prefix + c) for c in ("node", "n", *columns, *WORDS)))
+
+    def merged(links: DataFrame) -> None:
+        """Contract the components that ``links`` join."""
+        nonlocal labels, live
+        ends = links if labels is None else relabel(relabel(links, labels, "u"), labels, "v")
+        step = components(ends)
+        labels = step if labels is None else materialize(relabel(labels, step, "root").unionByName(step), "labels")
+        live = relabel(live, step, "root")
 
     while True:
-        live = labelled(live)
-        if live.isEmpty():
-            return labels
-        pick = F.xxhash64("g", F.lit(turn))
-        leaders = live.groupBy("key").agg(F.min(F.struct(pick.alias("r"), F.col("g").alias("g"), F.col("root").alias("root"))).alias("lead"))
-        offers = live.join(leaders, "key").where("root <> lead.root").select(F.col("lead.g").alias("u"), F.col("g").alias("v"), F.col("lead.r").alias("r")).distinct()
-        chosen = fit(offers.select("u", "v"), tables=True).withColumn("r", F.xxhash64("u", F.lit(turn)))
-        chosen = chosen.groupBy("v").agg(F.min(F.struct("r", "u")).alias("x")).select("x.u", "v")
-        new = materialize(_confirm(chosen, sets, percent), "confirmed")
-        if new.isEmpty():
+        mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        live = materialize(live.join(mixed, "key").select("node", "key", "root"), "mixed")
+        if not more:
             break
-        links = new if links is None else materialize(links.union(new), "links")
-        labels = materialize(components(links), "labels")
+        pick = F.xxhash64("node", F.lit(turn))
+        leaders = live.groupBy("key").agg(F.min(F.struct(pick.alias("r"), F.col("node").alias("u"), F.col("root").alias("top"))).alias("lead"))
+        offers = live.join(leaders, "key").where("root <> lead.top").select("lead.u", F.col("node").alias("v"), "lead.r").distinct()
+        met = offers.join(named("u_", "b"), F.col("u") == F.col("u_node")).join(named("v_", "b"), F.col("v") == F.col("v_node"))
+        met = met.where(_possible("u_", "v_", percent)).where(F.arrays_overlap("u_b", "v_b"))
+        chosen = materialize(met.groupBy("v").agg(F.min_by("u", "r").alias("u")).select("u", "v"), "chosen")
+        links = materialize(_confirm(chosen, sets, percent), "confirmed")
+        found = links.count()
+        if found:
+            merged(links)
+        more = found > LAST_ROUND * live.select("node").distinct().count()
         turn += 1
-    # Table by table, between components only.
-    cells = live.join(facts.select("g", "b"), "g").select("g", "root", "key", F.explode("b").alias("other")).select("g", "root", F.xxhash64("key", "other").alias("cell"))
-    mixed = cells.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
-    cells = materialize(cells.join(mixed, "cell"), "cells")
-    left, right = cells.select("cell", F.col("g").alias("u"), F.col("root").alias("ru")), cells.select("cell", F.col("g").alias("v"), F.col("root").alias("rv"))
-    rest = fit(left.join(right, "cell").where("ru < rv").select("u", "v").distinct(), tables=False)
-    new = _confirm(rest, sets, percent)
-    links = new if links is None else links.union(new)
-    return materialize(components(links), "labels")
+    # What is left, table by table: rows outside a table's first component meet all rows of other components.
+    cells = live.join(facts.select("node", "b"), "node").select("node", "root", "key", F.explode("b").alias("other")).select("node", "root", F.xxhash64("key", "other").alias("cell"))
+    spans = cells.groupBy("cell").agg(F.mode("root").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell", "main")
+    cells = materialize(cells.join(spans, "cell").join(facts.select("node", "n", *WORDS), "node"), "cells")
+    left, right = (cells.select("cell", *(F.col(c).alias(prefix + c) for c in ("node", "root", "main", "n", *WORDS))) for prefix in ("u_", "v_"))
+    left = left.where("u_root <> u_main")
+    across = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("v_main")) | (F.col("u_node") < F.col("v_node"))) & _possible("u_", "v_", percent)
+    pairs = left.withColumnRenamed("cell", "u_cell").join(right, (F.col("u_cell") == F.col("cell")) & across)
+    rest = materialize(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "rest")
+    if not rest.isEmpty():
+        links = materialize(_confirm(rest, sets, percent), "confirmed")
+        if not links.isEmpty():
+            merged(links)
+    return labels

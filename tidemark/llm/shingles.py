@@ -63,6 +63,15 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+PARITY_WORDS = 16
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """1024 parity bits in 16 words. Two sets' words differ in at most as many bits as the sets differ in members."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 class TensorHasher:
     """Two collections of ``groups`` keys, each key hashing ``rows`` minhashes.
 
