@@ -64,8 +64,8 @@ def run_once(spark: SparkSession, path: str, **options) -> DataFrame:
 
     schema = spark.read.parquet(path).schema
     name = f"bars_{uuid.uuid4().hex}"
-    folder, file = path.rsplit("/", 1)
-    ticks = spark.readStream.schema(schema).option("pathGlobFilter", file if file.endswith(".parquet") else "*").parquet(folder)
+    either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, so that a single file serves as well as a folder
+    ticks = spark.readStream.schema(schema).parquet(either)
     query = build(ticks, **options).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name).withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
