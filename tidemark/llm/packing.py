@@ -49,7 +49,7 @@ class _Search:
 
     def __init__(self, lengths: list[int], bins: list[list[int]], capacity: int):
         self.lengths, self.capacity = lengths, capacity
-        self.bins = dict(enumerate(bins))
+        self.bins = {b: list(x) for b, x in enumerate(bins)}
         self.fill = {b: sum(lengths[i] for i in x) for b, x in self.bins.items()}
         self.holders: dict[int, dict[int, int]] = defaultdict(dict)
         self.present = 0
