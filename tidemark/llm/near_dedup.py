@@ -6,7 +6,7 @@ a candidate if it shares a key in both collections, that is, a table keyed by a
 No group emits all its pairs. In each round, every key group that still spans several components
 names one leader; members outside its component that share a table with it give one candidate each,
 links are confirmed, and components merge. Groups that lie within one component drop out. When rounds
-find little more, the rest is tested table by table, only between different components, so no candidate
+find little more, the rest is tested group by group, only between different components, so no candidate
 goes untested. Parity words give an exact bound on how far two sets differ; it is part of the join
 condition, so pairs that cannot be links are never emitted.
 """
@@ -203,15 +203,16 @@ def _merge(live: DataFrame, active: DataFrame, sets: DataFrame, percent: int) ->
             merged(links)
         more = found > LAST_ROUND * live.select("node").distinct().count()
         turn += 1
-    # What is left, table by table: rows outside a table's first component meet all rows of other components.
-    cells = live.join(facts.select("node", "b"), "node").select("node", "root", "key", F.explode("b").alias("other")).select("node", "root", F.xxhash64("key", "other").alias("cell"))
-    spans = cells.groupBy("cell").agg(F.mode("root").alias("main"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell", "main")
-    cells = materialize(cells.join(spans, "cell").join(facts.select("node", "n", *WORDS), "node"), "cells")
-    left, right = (cells.select("cell", *(F.col(c).alias(prefix + c) for c in ("node", "root", "main", "n", *WORDS))) for prefix in ("u_", "v_"))
-    left = left.where("u_root <> u_main")
-    across = (F.col("u_root") != F.col("v_root")) & ((F.col("v_root") == F.col("v_main")) | (F.col("u_node") < F.col("v_node"))) & _possible("u_", "v_", percent)
-    pairs = left.withColumnRenamed("cell", "u_cell").join(right, (F.col("u_cell") == F.col("cell")) & across)
-    rest = materialize(pairs.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).distinct(), "rest")
+    # What is left: in each key group, rows outside its first component meet all rows of other components.
+    # A pair shows itself only in the least key it shares, and only if it shares a key of the other collection.
+    main = live.groupBy("key").agg(F.mode("root").alias("main"))
+    met = materialize(live.join(main, "key").join(active.select("node", "n", "a", "b", *WORDS), "node"), "met")
+    left, right = (met.select(*(F.col(c).alias(prefix + c) for c in ("key", "node", "root", "main", "n", "a", "b", *WORDS))) for prefix in ("u_", "v_"))
+    c = F.col
+    across = (c("u_root") != c("v_root")) & ((c("v_root") == c("v_main")) | (c("u_node") < c("v_node"))) & _possible("u_", "v_", percent)
+    table = F.arrays_overlap("u_b", "v_b") & (c("u_key") == F.array_min(F.array_intersect("u_a", "v_a")))
+    pairs = left.where("u_root <> u_main").join(right, (c("u_key") == c("v_key")) & across & table)
+    rest = materialize(pairs.select(c("u_node").alias("u"), c("v_node").alias("v")), "rest")
     if not rest.isEmpty():
         links = materialize(_confirm(rest, sets, percent), "confirmed")
         if not links.isEmpty():
