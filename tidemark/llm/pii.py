@@ -52,31 +52,36 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _fold(items: Column, zero: Column, make) -> Column:
-    """Array of ``make(position before the item, item)``; an item is (gap, text), and positions advance by both lengths.
+def _fold(frame: DataFrame, text: str, pattern: str, matches: str, kind: str, make) -> DataFrame:
+    """Replaces the column ``matches`` by an array of ``make(start, end, gap, match)``.
 
-    Works in blocks, so that growing an array one by one stays cheap for any number of items.
+    Positions come from the lengths of the gaps that splitting at the pattern leaves and of the matches.
+    Work goes block by block, each stage a column of its own: growing an array one by one, or looking
+    into one from a lambda, then stays cheap for any number of matches.
     """
     step = lambda x: F.char_length(x["gap"]) + F.char_length(x["text"])
-    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK).cast("int"))
-    sums = F.transform(blocks, lambda j: F.aggregate(F.slice(items, j * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda a, x: a + step(x)))
-    starts = F.transform(blocks, lambda j: F.aggregate(F.slice(sums, F.lit(1), j), F.lit(0), lambda a, x: a + x))
+    gaps = F.when(F.size(matches) > 0, F.slice(F.split(text, F.lit(pattern), -1), F.lit(1), F.size(matches)))
+    out = frame.withColumn("_items", F.coalesce(F.arrays_zip(gaps.alias("gap"), F.col(matches).alias("text")), F.array().cast("array<struct<gap:string,text:string>>")))
+    numbers = F.sequence(F.lit(0), F.floor((F.size("_items") - 1) / _BLOCK).cast("int"))
+    chunks = F.transform(numbers, lambda j: F.slice("_items", j * _BLOCK + 1, F.lit(_BLOCK)))
+    out = out.withColumn("_chunks", F.when(F.size("_items") > 0, chunks).otherwise(F.array().cast("array<array<struct<gap:string,text:string>>>"))).drop("_items")
+    out = out.withColumn("_sums", F.transform("_chunks", lambda c: F.aggregate(c, F.lit(0), lambda t, x: t + step(x))))
+    starts = F.transform("_sums", lambda _, j: F.aggregate(F.slice("_sums", F.lit(1), j), F.lit(0), lambda t, x: t + x))
 
-    def block(j: Column) -> Column:
-        first = F.struct(F.element_at(starts, j + 1).alias("at"), zero.alias("out"))
-        grown = lambda a, x: F.struct((a["at"] + step(x)).alias("at"), F.concat(a["out"], F.array(make(a["at"], x))).alias("out"))
-        return F.aggregate(F.slice(items, j * _BLOCK + 1, F.lit(_BLOCK)), first, grown, lambda a: a["out"])
+    def block(c: Column, start: Column) -> Column:
+        def grown(t: Column, x: Column) -> Column:
+            begin = t["at"] + F.char_length(x["gap"])
+            end = begin + F.char_length(x["text"])
+            return F.struct(end.alias("at"), F.concat(t["out"], F.array(make(begin, end, x))).alias("out"))
 
-    return F.flatten(F.transform(blocks, block))
+        return F.aggregate(c, F.struct(start.alias("at"), F.array().cast(kind).alias("out")), grown, lambda t: t["out"])
 
-
-def _items(text: Column, pattern: str, matches: Column) -> Column:
-    """(gap before, match) pairs: what splitting at the pattern leaves, beside what it finds."""
-    return F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches)).alias("gap"), matches.alias("text"))
+    return out.withColumn(matches, F.flatten(F.zip_with("_chunks", starts, block))).drop("_chunks", "_sums")
 
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 _TOKEN = "array<struct<start:int,end:int,token:string,left:string>>"
+_MARKED = "array<struct<start:int,end:int,token:string,left:string,kind:int>>"
 
 
 def _shape(token: Column) -> Column:
@@ -95,42 +100,51 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if kind in needs:
             asked &= F.contains("text", F.lit(needs[kind]))
         out = out.withColumn(f"m_{kind}", F.when(asked, F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))))
-    spans = []
     for i, kind in enumerate(KINDS):
-        found = F.col(f"m_{kind}")
-        pairs = _items(F.col("text"), PATTERNS[kind], found)
 
-        def make(at: Column, x: Column, i: int = i, kind: str = kind) -> Column:
-            start = at + F.char_length(x["gap"])
-            return F.struct(F.when(_valid(kind, x["text"]), F.lit(i)).otherwise(-1).alias("kind"), start.alias("start"), (start + F.char_length(x["text"])).alias("end"))
+        def make(start: Column, end: Column, x: Column, i: int = i, kind: str = kind) -> Column:
+            return F.struct(F.when(_valid(kind, x["text"]), F.lit(i)).otherwise(-1).alias("kind"), start.alias("start"), end.alias("end"))
 
-        every = _fold(pairs, F.array().cast(_SPAN), make)
-        spans.append(F.when(F.size(found) > 0, F.filter(every, lambda s: s["kind"] >= 0)).otherwise(F.array().cast(_SPAN)))
+        out = _fold(out, "text", PATTERNS[kind], f"m_{kind}", _SPAN, make)
 
-    def instance(at: Column, x: Column) -> Column:
-        start = at + F.char_length(x["gap"])
+    def instance(start: Column, end: Column, x: Column) -> Column:
         left = F.substring_index(F.rtrim(F.right(x["gap"], F.lit(48))), " ", -1)
-        return F.struct(start.alias("start"), (start + F.char_length(x["text"])).alias("end"), x["text"].alias("token"), left.alias("left"))
-
-    tokens = _fold(_items(F.col("text"), INSTANCE, F.col("m_token")), F.array().cast(_TOKEN), instance)
-    return out.select(
-        "doc_id",
-        F.xxhash64("text").alias("key"),
-        F.concat(*spans).alias("base"),
-        F.when(F.size("m_token") > 0, tokens).otherwise(F.array().cast(_TOKEN)).alias("tokens"),
-    )
+        return F.struct(start.alias("start"), end.alias("end"), x["text"].alias("token"), left.alias("left"))
+
+    out = _fold(out, "text", INSTANCE, "m_token", _TOKEN, instance)
+    spans = F.concat(*(F.filter(f"m_{kind}", lambda s: s["kind"] >= 0) for kind in KINDS))
+    return _marked(out.select("doc_id", F.xxhash64("text").alias("key"), spans.alias("base"), F.col("m_token").alias("tokens")))
+
+
+def _marked(found: DataFrame) -> DataFrame:
+    """Gives each token the kind of the first base span that it overlaps, or null. Spans are sought block by block."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / _BLOCK).cast("int"))
+    chunks = F.transform(numbers, lambda j: F.slice("tokens", j * _BLOCK + 1, F.lit(_BLOCK)))
+    out = found.withColumn("_chunks", F.when(F.size("tokens") > 0, chunks).otherwise(F.array().cast(f"array<{_TOKEN}>")))
+    touches = lambda s, start, end: (s["start"] < end) & (s["end"] > start)
+    near = F.transform("_chunks", lambda c: F.filter("base", lambda s: touches(s, c[0]["start"], F.element_at(c, -1)["end"])))
+    out = out.withColumn("_near", near)
+
+    def kind(t: Column, spans: Column) -> Column:
+        return F.try_element_at(F.filter(spans, lambda s: touches(s, t["start"], t["end"])), F.lit(1))["kind"]
+
+    def mark(c: Column, spans: Column) -> Column:
+        return F.transform(c, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), t["left"].alias("left"), kind(t, spans).alias("kind")))
+
+    tokens = F.flatten(F.zip_with("_chunks", "_near", mark))
+    return out.select("doc_id", "key", "base", F.when(F.size("tokens") > 0, tokens).otherwise(F.array().cast(_MARKED)).alias("tokens"))
 
 
 def discover(found: DataFrame, *, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
     """rid and more (spans): instances outside the base spans that a confident pattern names."""
     seen = materialize(
         found.where(F.size("tokens") > 0)
-        .select("rid", "base", F.explode("tokens").alias("t"))
+        .select("rid", F.explode("tokens").alias("t"))
         .select(
             "rid",
             F.col("t.start").alias("start"),
             F.col("t.end").alias("end"),
-            F.try_element_at(F.filter("base", lambda s: (s["start"] < F.col("t.end")) & (s["end"] > F.col("t.start"))), F.lit(1))["kind"].alias("kind"),
+            F.col("t.kind").alias("kind"),
             F.lower("t.token").alias("instance"),
             F.concat_ws(" ", F.regexp_replace(F.lower("t.left"), r"[0-9]", "9"), _shape(F.col("t.token"))).alias("pattern"),
         ),
@@ -184,13 +198,25 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", *
     text = F.col(text_col)
     joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_pii_key")), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        piece = F.when(s["start"] >= a["at"], F.concat(gap, F.element_at(names, s["kind"] + 1))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
-
     by_start = F.array_sort(F.transform("_pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate(by_start, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.char_length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_pii_spans").isNotNull(), clean).otherwise(text)).select(*docs.columns)
+    # Block by block, each with its own stretch of the text, so that finding positions stays cheap.
+    out = joined.withColumn("_pii_spans", by_start)
+    numbers = F.sequence(F.lit(0), F.floor((F.size("_pii_spans") - 1) / _BLOCK).cast("int"))
+    out = out.withColumn("_pii_chunks", F.when(F.size("_pii_spans") > 0, F.transform(numbers, lambda j: F.slice("_pii_spans", j * _BLOCK + 1, F.lit(_BLOCK)))))
+    out = out.withColumn("_pii_ends", F.transform("_pii_chunks", lambda c: F.array_max(F.transform(c, lambda s: s["end"]))))
+    begins = F.transform("_pii_ends", lambda _, j: F.aggregate(F.slice("_pii_ends", F.lit(1), j), F.lit(0), lambda t, x: F.greatest(t, x)))
+    out = out.withColumn("_pii_begins", begins)
+    pieces = F.zip_with("_pii_begins", "_pii_ends", lambda b, e: F.struct(b.alias("begin"), F.substring(text, b + 1, F.greatest(e - b, F.lit(0))).alias("part")))
+
+    def block(c: Column, piece: Column) -> Column:
+        def step(t: Column, s: Column) -> Column:
+            gap = F.substring(piece["part"], t["at"] - piece["begin"] + 1, s["start"] - t["at"])
+            found = F.when(s["start"] >= t["at"], F.concat(gap, F.element_at(names, s["kind"] + 1))).otherwise("")
+            return F.struct(F.greatest(t["at"], s["end"]).alias("at"), F.concat(t["out"], F.array(found)).alias("out"))
+
+        zero = F.struct(piece["begin"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(c, zero, step, lambda t: F.array_join(t["out"], ""))
+
+    rest = F.substring(text, F.array_max("_pii_ends") + 1, F.char_length(text))
+    clean = F.concat(F.array_join(F.zip_with("_pii_chunks", pieces, block), ""), rest)
+    return out.withColumn(text_col, F.when(F.col("_pii_chunks").isNotNull(), clean).otherwise(text)).select(*docs.columns)

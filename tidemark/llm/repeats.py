@@ -213,6 +213,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """Spans (d, h, at, bytes), overlapping, that cover what repeats in ``docs`` (d, h, text)."""
     every = materialize(_all_segments(docs, length, anchor), "segments")
     shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
+    shared = materialize(shared, "anchors")  # as a table of its own, so that the join can split hot anchors
     rows = materialize(every.join(shared, "anchor"), "shared")
     whole = rows.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "h", "at", "bytes")).alias("one"))
     whole = materialize(whole, "bodies")
