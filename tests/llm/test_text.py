@@ -124,6 +124,8 @@ PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>
 def test_html():
     tree = html_text.train_tree()
     assert html_text.main_text(PAGE, tree) == "A title & more\nFirst bold words here, a line.\nSecond <tag> é © without end\ncell one\ntwo\nShort."
+    named = '<div class="page no-sidebar with-comments"><article class="post"><div class="article-header"><h1>Title</h1></div><p>Body text.</p><div class="socialShare">Share me</div></article><article class="comment">Mine!</article></div>'
+    assert html_text.main_text(named, tree) == "Title\nBody text."
     plain = "<body><div><a href=x>Menu</a></div><p>" + prose(60, 1) + "</p><div>" + prose(40, 2) + "</div><p><a href=y>next page</a></p>"
     assert html_text.main_text(plain, tree) == prose(60, 1) + "\n" + prose(40, 2)
     for odd in (None, "", "<", "<p", "a < b", "<!--", "<script>", "</p></div>", "<p class='x", "\x00<p>\x00", "<" * 5000, "<p " + "a='" * 3000):

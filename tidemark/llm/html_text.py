@@ -95,13 +95,24 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_NEGATING = frozenset("no not with without has is hide".split())
 _INLINE, _MAIN, _ASIDE = frozenset(INLINE), frozenset(MAIN_TAGS), frozenset(ASIDE_TAGS)
 _ASIDE_NAMES = frozenset(ASIDE_WORDS) | frozenset(ASIDE_ROLES)
 _VOID = frozenset("area base br col hr img input link meta param source track wbr embed".split())
 _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _aside_name(rest: str, in_main: bool) -> bool:
+    """Does a class, id or role name an aside? Names such as no-sidebar do not; a header within an article is part of it."""
+    for values in _NAMED.findall(rest):
+        for name in "".join(values).split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            if words and words[0] not in _NEGATING and not _ASIDE_NAMES.isdisjoint(words) and not (in_main and _ASIDE_NAMES.intersection(words) == {"header"}):
+                return True
+    return False
+
+
 def blocks(page: str) -> list[tuple]:
     """(text, words, share of characters in links, in main, in an aside, heading) of each non-empty flat block."""
     out: list[tuple] = []
@@ -155,9 +166,9 @@ def blocks(page: str) -> list[tuple]:
             if stack and stack[-1][0] in _IMPLIED.get(tag, ()):
                 stack.pop()
             rest = m["rest"] or ""
-            names = {w for x in _NAMED.findall(rest) for w in _WORD.findall("".join(x).lower())} if "=" in rest else ()
-            main = tag in _MAIN
-            aside = not main and bool((tag in _ASIDE and not (tag == "header" and any(x[1] for x in stack))) or not _ASIDE_NAMES.isdisjoint(names) or (rest and _HIDDEN.search(rest)))
+            main, in_main = tag in _MAIN, any(x[1] for x in stack)
+            aside = not main and tag in _ASIDE and not (tag == "header" and in_main)
+            aside = aside or ("=" in rest and _aside_name(rest, in_main)) or bool(rest and _HIDDEN.search(rest))
             if not rest.rstrip().endswith("/"):
                 stack.append((tag, main, aside))
     parts.append(page[at:])
