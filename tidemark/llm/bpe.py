@@ -18,6 +18,8 @@ from functools import cached_property
 
 import numpy as np
 
+from . import worker
+
 WHITE = b"\t\n\r "
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 
@@ -103,7 +105,7 @@ def _ordered(merges: list, vocab: dict, base: int) -> bool:
 class ForcedBoundaryBPE(_Library):
     """Encoder and decoder for a byte-level vocabulary file; ids equal the library's."""
 
-    def __init__(self, path: str, cache_bytes: int = 64_000_000):
+    def __init__(self, path: str, cache_bytes: int = 48_000_000):
         self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -174,7 +176,7 @@ class ForcedBoundaryBPE(_Library):
 class WordSplitBPE(_Library):
     """Encoder for a vocabulary whose tokens never span white space: words are encoded apart, each distinct one once."""
 
-    def __init__(self, path: str, cache_bytes: int = 64_000_000):
+    def __init__(self, path: str, cache_bytes: int = 48_000_000):
         import regex
 
         self.path = path
@@ -224,6 +226,7 @@ class WordSplitBPE(_Library):
 
 
 _loaded: dict = {}
+worker.cache(_loaded.clear)
 
 
 def encoder(kind: type, path: str):
@@ -244,6 +247,7 @@ def encode_decode(docs, path: str, *, id_col: str = "doc_id", text_col: str = "t
     from pyspark.sql import functions as F
 
     def run(batches):
+        worker.claim("encode")
         bpe = encoder(ForcedBoundaryBPE, path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .components import components, relabel
 from .shingles import PARITY_WORDS, TensorHasher, digest, parity, shingle_set
 from .storage import bucketed, materialize, partitions
@@ -36,6 +37,7 @@ BITMAP_BITS = 1 << 22
 
 def _signatures(docs: DataFrame, groups: int, rows: int) -> DataFrame:
     def run(batches):
+        worker.claim("near")
         hasher = TensorHasher(groups, rows)
         known: dict[bytes, tuple] = {}
         for batch in batches:

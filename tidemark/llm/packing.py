@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .bpe import WordSplitBPE, encoder
 from .storage import materialize
 
@@ -163,6 +164,7 @@ def cut(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType
 
     def run(batches):
+        worker.claim("pack")
         bpe = encoder(WordSplitBPE, vocabulary)
         for batch in batches:
             doc, rows = batch.column(0), []

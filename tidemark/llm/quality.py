@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
+
 _BYTE_CLASSES = {
     "lower": b"abcdefghijklmnopqrstuvwxyz",
     "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -167,6 +169,7 @@ def scorer(model: BoostedTrees):
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker.claim("quality")
         for part in parts:
             x = np.array([statistics(t) for t in part], float).reshape(len(part), len(STATISTICS))
             yield pd.Series(model.score(x))

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import worker
 from .bpe import ForcedBoundaryBPE, encoder
 from .storage import bucketed, partitions, scratch_path
 
@@ -158,6 +159,7 @@ def write(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id"
     def tokenise(batches):
         import zstandard
 
+        worker.claim("rans")
         bpe, squeeze = encoder(ForcedBoundaryBPE, vocabulary), zstandard.ZstdCompressor(3)
         counts = np.zeros(len(bpe.token_bytes), np.int64)
         names = ["part", "docs", "lens", "ids", "symbols", "counts"]

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import worker
 from .rlbwt import build
 from .shingles import mix
 from .storage import materialize, partitions
@@ -39,6 +40,7 @@ _rng = np.random.Generator(np.random.PCG64(20240301))
 _TABLES = _rng.integers(1, 1 << 63, (2, 256), np.uint64)
 _POSITION = np.uint64((1 << 22) - 1)
 _powers: list[np.ndarray] = []
+worker.cache(_powers.clear)
 
 
 def _scaled() -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +113,7 @@ def _all_segments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     names = ["d", "h", "at", "bytes", "anchor", "body"]
 
     def run(batches):
+        worker.claim("repeats")
         for batch in batches:
             d, h = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for lo in range(0, batch.num_rows, 1000):
