@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = nodes.select("node", F.explode("a").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    shared = materialize(shared, "shared")  # a table of its own, here and below: the join can then split hot keys
     live = materialize(keys.join(shared, "key").select("node", "key"), "live")
     found = nodes.select("g", "node", "d")
     if not live.isEmpty():
@@ -190,6 +191,7 @@ def _merge(live: DataFrame, active: DataFrame, sets: DataFrame, percent: int) ->
 
     while True:
         mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        mixed = materialize(mixed, "mixed_keys")
         live = materialize(live.join(mixed, "key").select("node", "key", "root"), "mixed")
         if not more:
             break
