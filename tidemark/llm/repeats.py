@@ -14,7 +14,6 @@ Hashes decide as 128 bits (anchor and segment, or two window hashes).
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pandas as pd
