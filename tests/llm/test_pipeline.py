@@ -2,7 +2,7 @@ import corpus_pipeline
 from tidemark.llm import near_dedup, pii, quality
 from tidemark.llm.storage import materialize
 
-from .common import base_spans, exact_groups, near_components
+from .common import base_spans, documents, edited, exact_groups, near_components, prose, shingles
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +48,15 @@ def test_empty_corpus(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_stage_links_from_eighty_percent(spark):
+    texts = [t for s in range(25) for t in (prose(400, 500 + s), edited(prose(400, 500 + s), 50, s))]
+    sets = [shingles(t) for t in texts]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert sum(0.80 <= x < 0.85 for x in alike) > 15
+    docs = documents(spark, texts)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {k for k, (_, c) in near_components(rows, 80).items() if k == c}
+    assert want != {k for k, (_, c) in near_components(rows, near_dedup.PERCENT).items() if k == c}
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).collect()} == want
