@@ -207,6 +207,19 @@ def test_context_discovers_what_patterns_miss(spark):
     assert [(s["kind"], s["start"], s["end"]) for r in found for s in r["spans"]] == [(pii.KINDS.index("card"), 8, 24)]
 
 
+def test_context_discovers_unseen_shapes_and_runs(spark):
+    texts = [f"please write to user{i:03d}@mail.example.com today" for i in range(40)] + ["please write to user777@mail_example today"]
+    texts += [f"now call +1 (269) 555-{3296 + i} tonight" for i in range(20)] + ["now call 269 555 0199 tonight", "we met 12 guests tonight", "in 1999 77 people"]
+    docs = documents(spark, texts)
+    more = {r["text"]: [(pii.KINDS[s["kind"]], r["text"][s["start"] : s["end"]]) for s in r["spans"]] for r in pii.spans(docs).join(docs.select("doc_id", "text"), "doc_id").collect() if not r["base"]}
+    assert more == {
+        "please write to user777@mail_example today": [("email", "user777@mail_example")],
+        "now call 269 555 0199 tonight": [("phone", "269 555 0199")],
+        "we met 12 guests tonight": [],
+        "in 1999 77 people": [],
+    }
+
+
 def test_redaction(spark):
     docs = documents(spark)
     got = {r["doc_id"]: r for r in pii.redact(docs).collect()}

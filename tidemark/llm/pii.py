@@ -1,11 +1,13 @@
 """Personal data: base patterns, plus bootstrapped contextual extraction.
 
 Base matches (email, ip, card, phone) are the seed entities. Every token that holds a digit or an at
-sign is an instance, seen in a lexical pattern: the word before it and its own shape (digits
-and runs of letters folded). Patterns and instances form a graph. Starting from the seeds, patterns are
-scored by the mean score of their instances and instances by the mean score of their patterns, a few
-rounds long. Patterns of high confidence that enough different seeds support then discover unseen
-instances of the same shape.
+sign is an instance, and so is every run of two or more such tokens. An instance is seen in two patterns:
+its lexical context (the words before and after it, whatever its shape), and the word before it with its
+own shape (digits and runs of letters folded). Patterns and instances form a graph. Starting from the
+seeds, patterns are scored by the mean score of their instances and instances by the mean score of their
+patterns of either sort, the better one, a few rounds long; contexts carry scores from shape to shape.
+Patterns of high confidence that enough different seeds support then discover unseen instances, contexts
+also those of unseen shapes.
 
 All steps are DataFrame expressions. The regular expressions are forms of the documented ones that find
 the same matches without quadratic backtracking.
@@ -28,6 +30,7 @@ PATTERNS = {
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])){3}$"
 INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+RUN = INSTANCE + r"(?:[\x20\t]++[^\s0-9@]*+[0-9@]\S*+)++"
 _BLOCK = 256
 
 
@@ -52,19 +55,26 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _fold(frame: DataFrame, text: str, pattern: str, matches: str, kind: str, make) -> DataFrame:
-    """Replaces the column ``matches`` by an array of ``make(start, end, gap, match)``.
+def _fold(frame: DataFrame, text: str, pattern: str, matches: str, kind: str, make, *, after: bool = False) -> DataFrame:
+    """Replaces the column ``matches`` by an array of ``make(start, end, item)``; an item has the gap before the
+    match, its text and, if ``after`` is set, the first word after it: "$" at the end, empty if a match follows.
 
     Positions come from the lengths of the gaps that splitting at the pattern leaves and of the matches.
     Work goes block by block, each stage a column of its own: growing an array one by one, or looking
     into one from a lambda, then stays cheap for any number of matches.
     """
     step = lambda x: F.char_length(x["gap"]) + F.char_length(x["text"])
-    gaps = F.when(F.size(matches) > 0, F.slice(F.split(text, F.lit(pattern), -1), F.lit(1), F.size(matches)))
-    out = frame.withColumn("_items", F.coalesce(F.arrays_zip(gaps.alias("gap"), F.col(matches).alias("text")), F.array().cast("array<struct<gap:string,text:string>>")))
+    item = "array<struct<gap:string,text:string" + (",after:string>>" if after else ">>")
+    out = frame.withColumn("_parts", F.when(F.size(matches) > 0, F.split(text, F.lit(pattern), -1)))
+    fields = [F.slice("_parts", F.lit(1), F.size(matches)).alias("gap"), F.col(matches).alias("text")]
+    if after:
+        word = lambda p, i: F.regexp_extract(F.concat(F.substring(p, 1, 48), F.when(i == F.size(matches), " $").otherwise("")), r"^\s*(\S*)", 1)
+        out = out.withColumn("_after", F.transform("_parts", word))
+        fields.append(F.slice("_after", F.lit(2), F.size(matches)).alias("after"))
+    out = out.withColumn("_items", F.coalesce(F.arrays_zip(*fields), F.array().cast(item))).drop("_parts", "_after")
     numbers = F.sequence(F.lit(0), F.floor((F.size("_items") - 1) / _BLOCK).cast("int"))
     chunks = F.transform(numbers, lambda j: F.slice("_items", j * _BLOCK + 1, F.lit(_BLOCK)))
-    out = out.withColumn("_chunks", F.when(F.size("_items") > 0, chunks).otherwise(F.array().cast("array<array<struct<gap:string,text:string>>>"))).drop("_items")
+    out = out.withColumn("_chunks", F.when(F.size("_items") > 0, chunks).otherwise(F.array().cast(f"array<{item}>"))).drop("_items")
     out = out.withColumn("_sums", F.transform("_chunks", lambda c: F.aggregate(c, F.lit(0), lambda t, x: t + step(x))))
     starts = F.transform("_sums", lambda _, j: F.aggregate(F.slice("_sums", F.lit(1), j), F.lit(0), lambda t, x: t + x))
 
@@ -80,8 +90,8 @@ def _fold(frame: DataFrame, text: str, pattern: str, matches: str, kind: str, ma
 
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
-_TOKEN = "array<struct<start:int,end:int,token:string,left:string>>"
-_MARKED = "array<struct<start:int,end:int,token:string,left:string,kind:int>>"
+_TOKEN = "array<struct<start:int,end:int,token:string,left:string,context:string>>"
+_MARKED = "array<struct<start:int,end:int,token:string,left:string,context:string,kind:int>>"
 
 
 def _shape(token: Column) -> Column:
@@ -90,11 +100,12 @@ def _shape(token: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, key (hash of the text), base (spans of all kinds), tokens (instances with their left word)."""
+    """doc_id, key (hash of the text), base (spans of all kinds), tokens (instances with their left word and context)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     needs = {"email": "@", "phone": "+"}
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     out = out.select("*", F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0)).alias("m_token"))
+    out = out.withColumn("m_run", F.when(F.size("m_token") > 1, F.regexp_extract_all("text", F.lit(RUN), F.lit(0))))
     for kind in KINDS:  # a base match holds a digit or an at sign, so texts without instances have none
         asked = F.size("m_token") > 0
         if kind in needs:
@@ -109,11 +120,16 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def instance(start: Column, end: Column, x: Column) -> Column:
         left = F.substring_index(F.rtrim(F.right(x["gap"], F.lit(48))), " ", -1)
-        return F.struct(start.alias("start"), end.alias("end"), x["text"].alias("token"), left.alias("left"))
-
-    out = _fold(out, "text", INSTANCE, "m_token", _TOKEN, instance)
+        before = F.regexp_extract(F.right(x["gap"], F.lit(48)), r"(\S*)\s*$", 1)
+        before = F.when((before == "") & (start == F.char_length(x["gap"])), "^").otherwise(before)
+        # Beside another instance there is no word; the run of both has a context.
+        context = F.when((before != "") & (x["after"] != "") & ((before != "^") | (x["after"] != "$")), F.concat_ws(" ", before, x["after"]))
+        return F.struct(start.alias("start"), end.alias("end"), x["text"].alias("token"), left.alias("left"), context.alias("context"))
+
+    for pattern, name in ((INSTANCE, "m_token"), (RUN, "m_run")):
+        out = _fold(out, "text", pattern, name, _TOKEN, instance, after=True)
     spans = F.concat(*(F.filter(f"m_{kind}", lambda s: s["kind"] >= 0) for kind in KINDS))
-    return _marked(out.select("doc_id", F.xxhash64("text").alias("key"), spans.alias("base"), F.col("m_token").alias("tokens")))
+    return _marked(out.select("doc_id", F.xxhash64("text").alias("key"), spans.alias("base"), F.array_sort(F.concat("m_token", "m_run")).alias("tokens")))
 
 
 def _marked(found: DataFrame) -> DataFrame:
@@ -122,14 +138,14 @@ def _marked(found: DataFrame) -> DataFrame:
     chunks = F.transform(numbers, lambda j: F.slice("tokens", j * _BLOCK + 1, F.lit(_BLOCK)))
     out = found.withColumn("_chunks", F.when(F.size("tokens") > 0, chunks).otherwise(F.array().cast(f"array<{_TOKEN}>")))
     touches = lambda s, start, end: (s["start"] < end) & (s["end"] > start)
-    near = F.transform("_chunks", lambda c: F.filter("base", lambda s: touches(s, c[0]["start"], F.element_at(c, -1)["end"])))
+    near = F.transform("_chunks", lambda c: F.filter("base", lambda s: touches(s, c[0]["start"], F.array_max(F.transform(c, lambda t: t["end"])))))
     out = out.withColumn("_near", near)
 
     def kind(t: Column, spans: Column) -> Column:
         return F.try_element_at(F.filter(spans, lambda s: touches(s, t["start"], t["end"])), F.lit(1))["kind"]
 
     def mark(c: Column, spans: Column) -> Column:
-        return F.transform(c, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), t["left"].alias("left"), kind(t, spans).alias("kind")))
+        return F.transform(c, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["token"].alias("token"), t["left"].alias("left"), t["context"].alias("context"), kind(t, spans).alias("kind")))
 
     tokens = F.flatten(F.zip_with("_chunks", "_near", mark))
     return out.select("doc_id", "key", "base", F.when(F.size("tokens") > 0, tokens).otherwise(F.array().cast(_MARKED)).alias("tokens"))
@@ -137,6 +153,9 @@ def _marked(found: DataFrame) -> DataFrame:
 
 def discover(found: DataFrame, *, rounds: int = 3, confidence: float = 0.8, support: int = 5) -> DataFrame:
     """rid and more (spans): instances outside the base spans that a confident pattern names."""
+    digits = lambda c: F.regexp_replace(F.lower(c), r"[0-9]", "9")
+    shaped = F.concat_ws(" ", F.lit("s"), digits(F.col("t.left")), _shape(F.col("t.token")))
+    lexical = F.when(F.col("t.context").isNotNull(), F.concat_ws(" ", F.lit("c"), digits(F.col("t.context"))))
     seen = materialize(
         found.where(F.size("tokens") > 0)
         .select("rid", F.explode("tokens").alias("t"))
@@ -146,27 +165,30 @@ def discover(found: DataFrame, *, rounds: int = 3, confidence: float = 0.8, supp
             F.col("t.end").alias("end"),
             F.col("t.kind").alias("kind"),
             F.lower("t.token").alias("instance"),
-            F.concat_ws(" ", F.regexp_replace(F.lower("t.left"), r"[0-9]", "9"), _shape(F.col("t.token"))).alias("pattern"),
+            F.explode(F.array_compact(F.array(shaped, lexical))).alias("pattern"),
         ),
         "instances",
     )
     edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     seeds = F.col("kind").isNotNull().cast("double")
-    # Each instance's score: 1 for seeds; else the mean score of its patterns.
+    # Each instance's score: 1 for seeds; else the mean score of its patterns of one sort, the greater.
+    sorts = F.greatest(*(F.avg(F.when(F.startswith("pattern", F.lit(x)), F.col("mean"))) for x in ("s ", "c ")))
     scored = edges.select("pattern", "instance", "kind", seeds.alias("score"))
     for i in range(rounds):
         patterns = scored.groupBy("pattern").agg(
-            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("mean"), F.count("kind").alias("seeds"), F.mode("kind").alias("of")
+            (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("mean"), F.count("kind").alias("seeds"), F.mode("kind", True).alias("of")
         )
         if i == rounds - 1:
             break
         near = edges.join(patterns.select("pattern", "mean"), "pattern")
-        instances = near.groupBy("instance").agg(F.when(F.max("kind").isNotNull(), 1.0).otherwise(F.avg("mean")).alias("score"))
+        instances = near.groupBy("instance").agg(F.when(F.max("kind").isNotNull(), 1.0).otherwise(sorts).alias("score"))
         scored = materialize(edges.join(instances, "instance"), f"scores{i}")
-    trusted = patterns.where((F.col("mean") >= confidence) & (F.col("seeds") >= support)).select("pattern", "of")
+    trusted = patterns.where((F.col("mean") >= confidence) & (F.col("seeds") >= support)).select("pattern", "of", "seeds")
     return (
         seen.where("kind is null")
         .join(trusted, "pattern")
+        .groupBy("rid", "start", "end")
+        .agg(F.max(F.struct("seeds", "of"))["of"].alias("of"))  # if patterns disagree, the one with more seeds names the kind
         .groupBy("rid")
         .agg(F.collect_set(F.struct(F.col("of").alias("kind"), "start", "end")).alias("more"))
     )
