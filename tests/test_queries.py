@@ -36,3 +36,14 @@ def test_against_oracle(spark, duck, name):
     places = [want.columns.index(c) for c in columns]
     left = sorted((tuple(plain(r[c]) for c in columns) for r in got), key=repr)
     assert left == sorted((tuple(plain(r[i]) for i in places) for r in want.fetchall()), key=repr)
+
+
+def test_every_bar_is_flattened(spark, monkeypatch):
+    seen, flatten = [], queries.flatten
+    monkeypatch.setattr(queries, "flatten", lambda raw: seen.append((raw, flatten(raw))) or seen[-1][1])
+    result = queries.bars_json_flatten(spark, SF)
+    (pages, rows), = seen
+    bars = queries.bars(spark, SF)
+    keys = lambda df, time: {(r[0].upper(), str(r[1])[:10]) for r in df.select("symbol", time).collect()}
+    assert keys(rows, "timestamp") == keys(bars, "timestamp") and rows.count() == bars.count() > 3 * result.count() > 0
+    assert pages.count() == len({t[:7] for _, t in keys(bars, "timestamp")})
