@@ -123,3 +123,61 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
         return kind == "email" or 9 <= len(d) <= 15
 
     return [(k, m.start(), m.end()) for k, rule in _RULES.items() for m in re.finditer(rule, text or "") if good(k, m.group())]
+
+
+def discovered_spans(texts: list[str | None], rounds: int = 3, confidence: float = 0.8, support: int = 5) -> list[set[tuple[str, int, int]]]:
+    """What contextual extraction adds to the base spans of each text: the graph of instances and patterns in plain dictionaries."""
+    kinds, seen = list(_RULES), []
+    nines = lambda x: re.sub("[0-9]", "9", x.lower())
+    shape = lambda x: re.sub(r"[^\W\d_]+", "a", nines(x))
+    for row, t in enumerate(texts):
+        t, base = t or "", base_spans(t)
+        tokens = [(m.start(), m.end()) for m in re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*", t)]
+        groups = [[(a, b)] for a, b in tokens]
+        run: list = []
+        for x in [*tokens, (10**9, 10**9)]:
+            if run and (x[0] >= 10**9 or re.fullmatch(r"[ \t]+", t[run[-1][1] : x[0]]) is None):
+                if len(run) > 1:
+                    groups.append([(run[0][0], run[-1][1])])
+                run = []
+            run.append(x)
+        singles, runs = sorted(g[0] for g in groups if g[0] in tokens), sorted(g[0] for g in groups if g[0] not in tokens)
+        for spans in (singles, runs):
+            for i, (a, b) in enumerate(spans):
+                gap = t[spans[i - 1][1] if i else 0 : a]
+                rest = t[b : spans[i + 1][0]] if i + 1 < len(spans) else t[b:] + " $"
+                left = re.search(r"(\S*)\s*$", gap)[1]
+                before = "^" if left == "" and i == 0 else left
+                after = re.match(r"\s*(\S*)", rest)[1]
+                kind = next((kinds.index(k) for k in kinds for k2, x, y in base if k2 == k and x < b and y > a), None)
+                patterns = ["s " + nines(left) + " " + shape(t[a:b])]
+                if before and after and (before != "^" or after != "$"):
+                    patterns.append("c " + nines(f"{before} {after}"))
+                seen += [(row, a, b, kind, t[a:b].lower(), p) for p in patterns]
+    edges: dict = {}
+    for _, _, _, kind, instance, p in seen:
+        old = edges.get((p, instance))
+        edges[p, instance] = kind if old is None else old if kind is None else max(old, kind)
+    score = {e: float(k is not None) for e, k in edges.items()}
+    for turn in range(rounds):
+        by: dict = defaultdict(list)
+        for (p, i), k in edges.items():
+            by[p].append((score[p, i], k))
+        mean = {p: sum(s for s, _ in x) / (len(x) + 1) for p, x in by.items()}
+        if turn == rounds - 1:
+            break
+        sorts: dict = defaultdict(lambda: defaultdict(list))
+        for p, i in edges:
+            sorts[i][p[:2]].append(mean[p])
+        seeds = {i for (_, i), k in edges.items() if k is not None}
+        score = {(p, i): 1.0 if i in seeds else max(sum(x) / len(x) for x in sorts[i].values()) for p, i in edges}
+    trusted = {}
+    for p, x in by.items():
+        found = Counter(k for _, k in x if k is not None)
+        if mean[p] >= confidence and sum(found.values()) >= support:
+            trusted[p] = (sum(found.values()), min(k for k in found if found[k] == max(found.values())))
+    out: list[dict] = [{} for _ in texts]
+    for row, a, b, kind, _, p in seen:
+        if kind is None and p in trusted:
+            out[row][a, b] = max(out[row].get((a, b), (0, 0)), trusted[p])
+    return [{(kinds[of], a, b) for (a, b), (_, of) in x.items()} for x in out]

@@ -68,7 +68,7 @@ def _fold(frame: DataFrame, text: str, pattern: str, matches: str, kind: str, ma
     out = frame.withColumn("_parts", F.when(F.size(matches) > 0, F.split(text, F.lit(pattern), -1)))
     fields = [F.slice("_parts", F.lit(1), F.size(matches)).alias("gap"), F.col(matches).alias("text")]
     if after:
-        word = lambda p, i: F.regexp_extract(F.concat(F.substring(p, 1, 48), F.when(i == F.size(matches), " $").otherwise("")), r"^\s*(\S*)", 1)
+        word = lambda p, i: F.regexp_extract(F.concat(p, F.when(i == F.size(matches), " $").otherwise("")), r"^\s*+(\S*+)", 1)
         out = out.withColumn("_after", F.transform("_parts", word))
         fields.append(F.slice("_after", F.lit(2), F.size(matches)).alias("after"))
     out = out.withColumn("_items", F.coalesce(F.arrays_zip(*fields), F.array().cast(item))).drop("_parts", "_after")
@@ -119,9 +119,8 @@ def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         out = _fold(out, "text", PATTERNS[kind], f"m_{kind}", _SPAN, make)
 
     def instance(start: Column, end: Column, x: Column) -> Column:
-        left = F.substring_index(F.rtrim(F.right(x["gap"], F.lit(48))), " ", -1)
-        before = F.regexp_extract(F.right(x["gap"], F.lit(48)), r"(\S*)\s*$", 1)
-        before = F.when((before == "") & (start == F.char_length(x["gap"])), "^").otherwise(before)
+        left = F.reverse(F.regexp_extract(F.reverse(x["gap"]), r"^\s*+(\S*+)", 1))  # the last word, however long the gap
+        before = F.when((left == "") & (start == F.char_length(x["gap"])), "^").otherwise(left)
         # Beside another instance there is no word; the run of both has a context.
         context = F.when((before != "") & (x["after"] != "") & ((before != "^") | (x["after"] != "$")), F.concat_ws(" ", before, x["after"]))
         return F.struct(start.alias("start"), end.alias("end"), x["text"].alias("token"), left.alias("left"), context.alias("context"))
@@ -169,10 +168,12 @@ def discover(found: DataFrame, *, rounds: int = 3, confidence: float = 0.8, supp
         ),
         "instances",
     )
-    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    rows = seen.count()
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges", rows=rows)
     seeds = F.col("kind").isNotNull().cast("double")
     # Each instance's score: 1 for seeds; else the mean score of its patterns of one sort, the greater.
     sorts = F.greatest(*(F.avg(F.when(F.startswith("pattern", F.lit(x)), F.col("mean"))) for x in ("s ", "c ")))
+    # Scores are tables of their own, one row a node: joins with the edges can then split hot nodes.
     scored = edges.select("pattern", "instance", "kind", seeds.alias("score"))
     for i in range(rounds):
         patterns = scored.groupBy("pattern").agg(
@@ -180,10 +181,11 @@ def discover(found: DataFrame, *, rounds: int = 3, confidence: float = 0.8, supp
         )
         if i == rounds - 1:
             break
-        near = edges.join(patterns.select("pattern", "mean"), "pattern")
-        instances = near.groupBy("instance").agg(F.when(F.max("kind").isNotNull(), 1.0).otherwise(sorts).alias("score"))
-        scored = materialize(edges.join(instances, "instance"), f"scores{i}")
+        means = materialize(patterns.select("pattern", "mean"), "patterns", rows=rows)
+        instances = edges.join(means, "pattern").groupBy("instance").agg(F.when(F.max("kind").isNotNull(), 1.0).otherwise(sorts).alias("score"))
+        scored = edges.join(materialize(instances, "scores", rows=rows), "instance")
     trusted = patterns.where((F.col("mean") >= confidence) & (F.col("seeds") >= support)).select("pattern", "of", "seeds")
+    trusted = materialize(trusted, "trusted", rows=rows)
     return (
         seen.where("kind is null")
         .join(trusted, "pattern")
@@ -207,6 +209,11 @@ def spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **
     return joined.select("doc_id", "key", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(_SPAN)))).alias("spans"))
 
 
+def count_of(spans: Column, kind: int) -> Column:
+    """How many spans are of a kind. The test takes one parameter only: of two, the second would be the position."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == F.lit(kind))).cast("long")
+
+
 def as_text(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))

@@ -11,10 +11,9 @@ from .fingerprint import fingerprints
 from .html_text import extract
 from .near_dedup import near_duplicates
 from .packing import pack
-from .pii import KINDS, as_text, spans
+from .pii import KINDS, as_text, count_of, spans
 from .quality import score_documents
 from .rans import round_trip
-
 from .repeats import remove_repeats
 
 
@@ -51,7 +50,7 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    counts = [count_of(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(as_text(F.col("base")), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
