@@ -15,6 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROWS_A_FILE = 250_000
+#: Scratch made by this driver, oldest first: ("path" or "table", name).
+_made: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared scratch folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,17 +34,50 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_release_at_exit)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(("path", path))
+    return path
+
+
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release(spark)
+
 
+def materialize(df: DataFrame, name: str, *, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+    Where a bound on its rows is known, no more tasks write than the rows need, so that a small table
+    has few files however many partitions it comes in; their number grows with the rows.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < partitions(spark):
+        df = df.coalesce(files)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *, since: int = 0) -> int:
+    """Delete the scratch paths and tables made after the first ``since``; gives how many there are now.
+
+    Results are lazy and read their scratch tables, so only the caller knows when they are done with:
+    ``mark = release(spark, since=sys.maxsize)``, run and write the results, then ``release(spark, since=mark)``.
+    What is left goes when the driver's interpreter ends.
+    """
+    while len(_made) > since:
+        kind, name = _made.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(_made)
+
+
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     """Write ``df`` as a table bucketed by ``column``: later grouping or joining on it moves no row.
 
@@ -48,6 +86,7 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", scratch_path(spark, name)).bucketBy(buckets, column).saveAsTable(table)
+    _made.append(("table", table))
     return spark.table(table)
 
 
