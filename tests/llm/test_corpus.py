@@ -45,7 +45,7 @@ def test_components(spark, monkeypatch, few):
 
         for u, v in edges:
             parent[find(u)] = find(v)
-        got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+        got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u long, v long"), len(edges)).collect()}
         groups: dict = {}
         for x in parent:
             groups.setdefault(find(x), set()).add(got.get(x, x))

@@ -65,3 +65,79 @@ def test_discovery_against_plain_dictionaries(spark):
         more = discovered_spans(rows)
         assert [got[10 + 3 * i] for i in range(len(rows))] == [set(base_spans(t)) | x for t, x in zip(rows, more)]
     assert sum(map(bool, discovered_spans(some))) > 3
+
+
+def test_op2(spark):
+    rows, got = texts(spark), {r["doc_id"]: r for r in run(spark, "op2_exact_dedup")}
+    want = exact_groups(rows)
+    assert len(got) == len(rows)
+    for k, t in rows:
+        r = got[k]
+        assert (r["keep_id"], r["group_size"], r["kept"]) == (*want[k], want[k][0] == k)
+        assert r["text_sha256"] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t).encode()).hexdigest()
+
+
+def test_op7(spark):
+    rows, got = texts(spark), {r["doc_id"]: r for r in run(spark, "op7_repeats")}
+    for k, (n, removed, spans, left) in brute_repeats(rows).items():
+        r = got[k]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (n, removed, spans, hashlib.sha256(left).hexdigest())
+    assert len(got) == len(rows)
+
+
+def test_op10(spark):
+    rows, got = texts(spark), {r["doc_id"]: r for r in run(spark, "op10_near_dedup")}
+    want = near_components(rows, 85)
+    assert len(got) == len(rows)
+    assert {k: (r["n_shingles"], r["component_id"], r["kept"]) for k, r in got.items()} == {k: (n, c, k == c) for k, (n, c) in want.items()}
+
+
+@pytest.fixture(scope="module")
+def libraries():
+    from tidemark.llm.bpe import load_tokenizer
+
+    return {path: load_tokenizer(path) for path in (BYTE, WORD)}
+
+
+def ids_of(library, text, *end):
+    return np.array([*library.encode(text, add_special_tokens=False).ids, *end], "<u4")
+
+
+def test_op3(spark, libraries):
+    got, start = {r["doc_id"]: r for r in run(spark, "op3_rans")}, 0
+    rows = texts(spark)
+    assert len(got) == len(rows)
+    for k, t in rows:
+        ids = ids_of(libraries[BYTE], t, 0)
+        assert (got[k]["start"], got[k]["n_tokens"], got[k]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_op4(spark, libraries):
+    rows, found = texts(spark), run(spark, "op4_packing")
+    pieces = {(r["doc_id"], r["piece"]): r for r in found}
+    assert len(pieces) == len(found)
+    total, count = 0, 0
+    for k, t in rows:
+        ids = ids_of(libraries[WORD], t, 0)
+        for lo in range(0, len(ids), 2048):
+            part, r = ids[lo : lo + 2048], pieces[k, lo // 2048]
+            assert (r["start"], r["length"], r["ids_crc32"]) == (lo, len(part), zlib.crc32(part.tobytes()))
+            count += 1
+        total += len(ids)
+    assert count == len(found)
+    at: dict = {}
+    for r in sorted(found, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at.get(r["sequence_id"], 0)
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(at.values()) <= 2048 and len(at) <= -(-total // 2048) + 2
+
+
+def test_op9(spark, libraries):
+    rows, got = texts(spark), {r["doc_id"]: r for r in run(spark, "op9_bpe")}
+    assert len(got) == len(rows)
+    for k, t in rows:
+        ids = ids_of(libraries[BYTE], t)
+        back = libraries[BYTE].decode(ids.tolist(), skip_special_tokens=False)
+        assert (got[k]["n_tokens"], got[k]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert got[k]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()

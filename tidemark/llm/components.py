@@ -55,11 +55,11 @@ def relabel(frame: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     return frame.join(known, column, "left").withColumn(column, F.coalesce("_root", column)).drop("_root")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node that is not itself its component's root; nodes are longs."""
-    edges = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    if edges.count() <= FEW_EDGES:
-        return materialize(_in_one_task(edges), "labels")
+def components(links: DataFrame, count: int) -> DataFrame:
+    """(node, root) of every linked node that is not itself its component's root; nodes are longs, links ``count`` at most."""
+    if count <= FEW_EDGES:
+        return materialize(_in_one_task(links.select("u", "v")), "labels")
+    edges = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges", rows=count)
     labels, turn = None, 0
     while not edges.isEmpty():
         end = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("id"))  # noqa: B023, E731

@@ -1,14 +1,16 @@
 """Near-duplicate components: minhash with tensored banding, links confirmed on full shingle sets.
 
-Equal sets are collapsed first, so a group of copies is one node however large it is. A pair of nodes is
-a candidate if it shares a key in both collections, that is, a table keyed by a pair of keys.
-
-No group emits all its pairs. In each round, every key group that still spans several components
-names one leader; members outside its component that share a table with it give one candidate each,
-links are confirmed, and components merge. Groups that lie within one component drop out. When rounds
-find little more, the rest is tested group by group, only between different components, so no candidate
-goes untested. Parity words give an exact bound on how far two sets differ; it is part of the join
-condition, so pairs that cannot be links are never emitted.
+Equal sets are collapsed first, so a group of copies is one node however large it is. Each node has two
+small collections of minhash keys. A table is keyed by a pair, one key of each collection: groups**2 tables
+from only 2 * groups * rows minhashes. Two nodes are candidates if they meet in a table. Keys that only one
+node has can form no shared table, so pairs are formed of the others alone.
+
+No table emits all its pairs. In each round, every table that still spans several components names one
+leader; members outside its component get one candidate each, links are confirmed, and components merge.
+Tables that lie within one component drop out. When rounds find little more, the nodes left are joined by
+prefixes of their shingles, rarest first, which misses no link between them: a shingle in the prefix is
+shared by few, and a table of many unlike texts costs no more than their prefixes. Parity words give an exact
+bound on how far two sets differ; pairs that cannot be links are dropped before full sets are read.
 """
 
 from __future__ import annotations
@@ -25,10 +27,9 @@ from .components import components, relabel
 from .shingles import PARITY_WORDS, TensorHasher, digest, parity, shingle_set
 from .storage import bucketed, materialize, partitions
 
-GROUPS, ROWS = 14, 4
+GROUPS, ROWS = 12, 3
 PERCENT = 85
 LAST = 2**63 - 1
-HASH_BYTES = 6
 SALT_EDGES = 512
 LAST_ROUND = 0.05  # rounds end when one finds fewer links a live node
 WORDS = [f"p{i}" for i in range(PARITY_WORDS)]
@@ -81,8 +82,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, len(keep), 200):
                 sets = [shingle_set(t) for t in batch.column(0).take(pa.array(keep[lo : lo + 200])).to_pylist()]
                 sets = [s for s in sets if len(s)]
-                packed = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES :]).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array(packed, pa.binary())], names=["g", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["g", "hashes"])
 
     found = docs.select("text", spot.alias("spot")).mapInArrow(run, "g binary, hashes binary")
     n = partitions(docs.sparkSession)
@@ -91,22 +91,17 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // HASH_BYTES, 8), np.uint8)
-    wide[:, 8 - HASH_BYTES :] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
-    return wide.view(np.uint64).ravel()
+    return np.frombuffer(data, np.uint64)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose full sets are similar enough.
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The (u, v) of ``pairs`` (u, v, salt) whose full sets are similar enough.
 
     Members stream past their leader's set: one partition holds whole (leader, salt) groups in order,
     leader first, and a task keeps one set at a time. Salts split hot leaders.
     """
-    degree = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / SALT_EDGES).alias("salts"))
-    salted = pairs.join(degree, "u").withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
-    salted = materialize(salted.select("u", "v", "salt"), "salted")
-    members = salted.join(sets.withColumnRenamed("node", "v"), "v").select("u", "salt", "v", "hashes")
-    leaders = salted.select("u", "salt").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "hashes")
+    members = pairs.join(sets.withColumnRenamed("node", "v"), "v").select("u", "salt", "v", "hashes")
+    leaders = pairs.select("u", "salt").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "hashes")
     n = partitions(pairs.sparkSession)
     flow = members.unionByName(leaders).repartition(n, "u", "salt").sortWithinPartitions("u", "salt", F.col("v").asc_nulls_first())
 
@@ -123,13 +118,13 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     continue
                 if u != leader:
                     raise ValueError("a group came without its leader")
-                shared = len(np.intersect1d(own, hashes, assume_unique=True))
+                shared = int((own[np.minimum(np.searchsorted(own, hashes), len(own) - 1)] == hashes).sum())
                 if 100 * shared >= percent * (len(own) + len(hashes) - shared):
                     us.append(u[0])
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return flow.mapInArrow(run, "u long, v long")
+    return materialize(flow.mapInArrow(run, "u long, v long"), "confirmed", rows=rows)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
@@ -144,14 +139,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = materialize(_signatures(source, groups, rows), "signatures")
     nodes = signed.where("g is not null").groupBy("g").agg(F.min("d").alias("d"), F.first("n").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"), *(F.first(w).alias(w) for w in WORDS))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = nodes.select("node", F.explode("a").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    keys = nodes.select("node", F.explode(F.concat(F.transform("a", lambda x: F.struct(F.lit(0).alias("side"), x.alias("key"))), F.transform("b", lambda x: F.struct(F.lit(1).alias("side"), x.alias("key"))))).alias("k")).select("node", "k.*")
+    shared = keys.groupBy("side", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("side", "key")
     shared = materialize(shared, "shared")  # a table of its own, here and below: the join can then split hot keys
-    live = materialize(keys.join(shared, "key").select("node", "key"), "live")
+    side = lambda i: F.collect_list(F.when(F.col("side") == i, F.col("key"))).alias("ab"[i])
+    held = keys.join(shared, ["side", "key"]).groupBy("node").agg(side(0), side(1)).where((F.size("a") > 0) & (F.size("b") > 0))
+    held = materialize(held, "held")
+    size = held.agg(F.sum(F.size("a") * F.size("b")).alias("tables"), F.count(F.lit(1)).alias("nodes")).first()
     found = nodes.select("g", "node", "d")
-    if not live.isEmpty():
-        active = materialize(nodes.join(live.select("node").distinct(), "node", "left_semi"), "active")
-        labels = _merge(live, active, _full_sets(source, active.select("node", "g", "d")), percent)
+    if size["nodes"]:
+        tables = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
+        labels = _merge(source, nodes, held.select("node", tables.alias("key")), size["tables"], percent)
         if labels is not None:
             found = relabel(found, labels, "node")
     lowest = found.groupBy("node").agg(F.min("d").alias("component_id"))
@@ -172,53 +170,95 @@ def _possible(left: str, right: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
 
 
-def _merge(live: DataFrame, active: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, root) of linked nodes; ``live`` holds (node, key) for the keys of the first collection that nodes share."""
-    facts = active.select("node", "n", "b", *WORDS)
+def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, percent: int) -> DataFrame | None:
+    """(node, root) of linked nodes; ``live`` holds (node, key) for ``rows`` tables in which a node may meet others."""
     live = live.withColumn("root", F.col("node"))
-    labels, turn, more = None, 0, True
+    labels, facts, sets, turn = None, None, None, 0
 
-    def named(prefix: str, *columns: str) -> DataFrame:
-        return facts.select(*(F.col(c).alias(prefix + c) for c in ("node", "n", *columns, *WORDS)))
-
-    def merged(links: DataFrame) -> None:
+    def merged(links: DataFrame, found: int) -> None:
         """Contract the components that ``links`` join."""
         nonlocal labels, live
         ends = links if labels is None else relabel(relabel(links, labels, "u"), labels, "v")
-        step = components(ends)
-        labels = step if labels is None else materialize(relabel(labels, step, "root").unionByName(step), "labels")
+        step = components(ends, found)
+        labels = step if labels is None else materialize(relabel(labels, step, "root").unionByName(step), "labels", rows=labels.count() + found)
         live = relabel(live, step, "root")
 
     while True:
-        mixed = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        mixed = materialize(mixed, "mixed_keys")
-        live = materialize(live.join(mixed, "key").select("node", "key", "root"), "mixed")
-        if not more:
-            break
-        pick = F.xxhash64("node", F.lit(turn))
-        leaders = live.groupBy("key").agg(F.min(F.struct(pick.alias("r"), F.col("node").alias("u"), F.col("root").alias("top"))).alias("lead"))
-        offers = live.join(leaders, "key").where("root <> lead.top").select("lead.u", F.col("node").alias("v"), "lead.r").distinct()
-        met = offers.join(named("u_", "b"), F.col("u") == F.col("u_node")).join(named("v_", "b"), F.col("v") == F.col("v_node"))
-        met = met.where(_possible("u_", "v_", percent)).where(F.arrays_overlap("u_b", "v_b"))
-        chosen = materialize(met.groupBy("v").agg(F.min_by("u", "r").alias("u")).select("u", "v"), "chosen")
-        links = materialize(_confirm(chosen, sets, percent), "confirmed")
+        pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("u"), F.col("root").alias("top"))
+        spanning = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pick).alias("lead"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+        spanning = materialize(spanning.select("key", "lead", "size"), "spanning", rows=rows)
+        met = live.join(spanning, "key").select("node", "key", "root", "lead", "size")
+        live = materialize(met, "live", rows=rows)
+        rows = live.count()
+        if not rows:
+            return labels
+        if facts is None:
+            wanted = materialize(nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "g", "d", "n", *WORDS), "wanted", rows=rows)
+            facts, sets = wanted.select("node", "n", *WORDS), _full_sets(source, wanted.select("node", "g", "d"))
+        offers = live.where("root <> lead.top").select(F.col("lead.u").alias("u"), F.col("node").alias("v"), F.col("lead.r").alias("r"), "size").groupBy("u", "v", "r").agg(F.max("size").alias("size"))
+        chosen = _plausible(offers, facts, percent).groupBy("v").agg(F.min_by(F.struct("u", "size"), "r").alias("to"))
+        chosen = chosen.select("to.u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("to.size") / SALT_EDGES)).cast("int").alias("salt"))
+        links = _confirm(materialize(chosen, "chosen", rows=rows), sets, percent, rows)
         found = links.count()
+        live = live.select("node", "key", "root")
         if found:
-            merged(links)
-        more = found > LAST_ROUND * live.select("node").distinct().count()
+            merged(links, found)
         turn += 1
-    # What is left: in each key group, rows outside its first component meet all rows of other components.
-    # A pair shows itself only in the least key it shares, and only if it shares a key of the other collection.
-    main = live.groupBy("key").agg(F.mode("root").alias("main"))
-    met = materialize(live.join(main, "key").join(active.select("node", "n", "a", "b", *WORDS), "node"), "met")
-    left, right = (met.select(*(F.col(c).alias(prefix + c) for c in ("key", "node", "root", "main", "n", "a", "b", *WORDS))) for prefix in ("u_", "v_"))
-    c = F.col
-    across = (c("u_root") != c("v_root")) & ((c("v_root") == c("v_main")) | (c("u_node") < c("v_node"))) & _possible("u_", "v_", percent)
-    table = F.arrays_overlap("u_b", "v_b") & (c("u_key") == F.array_min(F.array_intersect("u_a", "v_a")))
-    pairs = left.where("u_root <> u_main").join(right, (c("u_key") == c("v_key")) & across & table)
-    rest = materialize(pairs.select(c("u_node").alias("u"), c("v_node").alias("v")), "rest")
-    if not rest.isEmpty():
-        links = materialize(_confirm(rest, sets, percent), "confirmed")
-        if not links.isEmpty():
-            merged(links)
+        if found <= LAST_ROUND * facts.count():
+            break
+    ends = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = live.join(materialize(ends, "spanning", rows=rows), "key").select("node", "root").distinct()
+    rest = _by_prefix(materialize(left, "left", rows=rows), facts, sets, percent)
+    count = rest.count()
+    if count:
+        links = _confirm(rest, sets, percent, count)
+        if found := links.count():
+            merged(links, found)
     return labels
+
+
+def _plausible(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (u, v, more) that the parity words leave possible."""
+    named = lambda prefix: facts.select(*(F.col(c).alias(prefix + c) for c in ("node", "n", *WORDS)))
+    met = pairs.join(named("u_"), F.col("u") == F.col("u_node")).join(named("v_"), F.col("v") == F.col("v_node"))
+    return met.where(_possible("u_", "v_", percent)).select(*pairs.columns)
+
+
+def _by_prefix(left: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Possible links (u, v, salt) between nodes of ``left`` (node, root) in different components; misses none.
+
+    Shingles are put in one order, rarest first. If two sets are similar enough, the first shingle they share
+    lies among the first n - ceil(2pn / (100 + p)) + 1 of the smaller one and the first m - ceil(pm / 100) + 1
+    of the other. Shingles that one node alone holds come first and lead to no pair.
+    """
+    total = left.join(facts, "node").agg(F.sum("n")).first()[0] or 0
+    each = sets.join(left, "node").select("node", "root", "hashes")
+
+    def spread(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
+                n = len(h)
+                same = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([same(batch.column(0)[i].as_py()), same(batch.column(1)[i].as_py()), same(n), pa.array(h)], names=["node", "root", "n", "h"])
+
+    held = each.mapInArrow(spread, "node long, root long, n long, h long")
+    common = materialize(held.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "common", rows=total)
+    lists = held.join(common, "h").groupBy("node", "root", "n").agg(F.array_sort(F.collect_list(F.struct("f", "h"))).alias("own"))  # as long as a text
+    alone = F.col("n") - F.size("own")
+    probe, index = (F.expr(f"n - (n * {a} + {b} - 1) div {b} + 1") for a, b in ((percent, 100), (2 * percent, 100 + percent)))
+    entries = lists.select("node", "root", "n", (index - alone).alias("index"), F.posexplode(F.slice("own", F.lit(1), F.greatest(F.lit(0), probe - alone).cast("int"))).alias("i", "x"))
+    entries = materialize(entries.select(F.col("x.h").alias("h"), "node", "root", "n", (F.col("i") < F.col("index")).alias("short")), "prefixes", rows=total)
+    # Of each shingle, the component of one member drawn by hash is its main one; pairs have an end outside it.
+    drawn = F.min(F.struct(F.xxhash64("node"), F.col("root").alias("main")))["main"].alias("main")
+    mixed = entries.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), drawn).where("lo <> hi").select("h", "main")
+    entries = materialize(entries.join(materialize(mixed, "mixed", rows=total), "h"), "entries", rows=total)
+    c = F.col
+    named = lambda prefix, rows: rows.select(*(c(x).alias(prefix + x) for x in entries.columns))
+    short, long = named("u_", entries.where("short")), named("v_", entries)
+    fits = (c("u_h") == c("v_h")) & (c("u_root") != c("v_root")) & (F.struct("u_n", "u_node") < F.struct("v_n", "v_node")) & (100 * c("u_n") >= percent * c("v_n"))
+    outer = short.where("u_root <> u_main").join(long, fits).select("u_node", "v_node")
+    inner = short.where("u_root = u_main").join(long.where("v_root <> v_main"), fits).select("u_node", "v_node")
+    pairs = outer.unionByName(inner).select(c("u_node").alias("u"), c("v_node").alias("v")).distinct()
+    pairs = _plausible(pairs, facts, percent)
+    return materialize(pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int").alias("salt")), "rest", rows=total)
