@@ -19,9 +19,9 @@ from tidemark.llm.storage import materialize
 
 #: SQL cannot express the stages; tests/llm compares them with brute force.
 ORACLE_SQL = None
-#: Near copies in the corpus are texts of similarity 0.8 or more (op10's own contract is 0.85). With 20 groups a pair
-#: of exactly 0.8 shares a table with probability 0.99995.
-NEAR_PERCENT, NEAR_GROUPS = 80, 20
+#: Near copies in the corpus are texts of similarity 0.8 or more (op10's own contract is 0.85). With 15 groups a pair
+#: of exactly 0.8 shares a table with probability 0.99996.
+NEAR_PERCENT, NEAR_GROUPS = 80, 15
 
 
 def _keep(docs: DataFrame, found: DataFrame) -> DataFrame:
