@@ -94,7 +94,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (u, v) of ``pairs`` (u, v, salt) whose full sets are similar enough.
 
     Members stream past their leader's set: one partition holds whole (leader, salt) groups in order,
@@ -124,7 +124,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, rows: int) -> Data
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return materialize(flow.mapInArrow(run, "u long, v long"), "confirmed", rows=rows)
+    return materialize(flow.mapInArrow(run, "u long, v long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = nodes.select("g", "node", "d")
     if size["nodes"]:
         tables = F.explode(F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y)))))
-        labels = _merge(source, nodes, held.select("node", tables.alias("key")), size["tables"], percent)
+        labels = _merge(source, nodes, held.select("node", (F.size("a") * F.size("b")).alias("weight"), tables.alias("key")), size["tables"], percent)
         if labels is not None:
             found = relabel(found, labels, "node")
     lowest = found.groupBy("node").agg(F.min("d").alias("component_id"))
@@ -171,7 +171,10 @@ def _possible(left: str, right: str, percent: int) -> Column:
 
 
 def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, percent: int) -> DataFrame | None:
-    """(node, root) of linked nodes; ``live`` holds (node, key) for ``rows`` tables in which a node may meet others."""
+    """(node, root) of linked nodes; ``live`` holds (node, weight, key) for ``rows`` tables in which a node may meet others.
+
+    The first leaders are the members with the most such tables: what others were copied from shares the most.
+    """
     live = live.withColumn("root", F.col("node"))
     labels, facts, sets, turn = None, None, None, 0
 
@@ -184,7 +187,8 @@ def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, perc
         live = relabel(live, step, "root")
 
     while True:
-        pick = F.struct(F.xxhash64("node", F.lit(turn)).alias("r"), F.col("node").alias("u"), F.col("root").alias("top"))
+        rank = F.struct((F.lit(0) if turn else -F.col("weight")).alias("w"), F.xxhash64("node", F.lit(turn)).alias("x"))
+        pick = F.struct(rank.alias("r"), F.col("node").alias("u"), F.col("root").alias("top"))
         spanning = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pick).alias("lead"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
         spanning = materialize(spanning.select("key", "lead", "size"), "spanning", rows=rows)
         met = live.join(spanning, "key").select("node", "key", "root", "lead", "size")
@@ -198,7 +202,7 @@ def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, perc
         offers = live.where("root <> lead.top").select(F.col("lead.u").alias("u"), F.col("node").alias("v"), F.col("lead.r").alias("r"), "size").groupBy("u", "v", "r").agg(F.max("size").alias("size"))
         chosen = _plausible(offers, facts, percent).groupBy("v").agg(F.min_by(F.struct("u", "size"), "r").alias("to"))
         chosen = chosen.select("to.u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("to.size") / SALT_EDGES)).cast("int").alias("salt"))
-        links = _confirm(materialize(chosen, "chosen", rows=rows), sets, percent, rows)
+        links = _confirm(materialize(chosen, "chosen", rows=rows), sets, percent)
         found = links.count()
         live = live.select("node", "key", "root")
         if found:
@@ -211,7 +215,7 @@ def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, perc
     rest = _by_prefix(materialize(left, "left", rows=rows), facts, sets, percent)
     count = rest.count()
     if count:
-        links = _confirm(rest, sets, percent, count)
+        links = _confirm(rest, sets, percent)
         if found := links.count():
             merged(links, found)
     return labels
@@ -252,13 +256,13 @@ def _by_prefix(left: DataFrame, facts: DataFrame, sets: DataFrame, percent: int)
     # Of each shingle, the component of one member drawn by hash is its main one; pairs have an end outside it.
     drawn = F.min(F.struct(F.xxhash64("node"), F.col("root").alias("main")))["main"].alias("main")
     mixed = entries.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), drawn).where("lo <> hi").select("h", "main")
-    entries = materialize(entries.join(materialize(mixed, "mixed", rows=total), "h"), "entries", rows=total)
+    words = facts.select("node", *WORDS)
+    entries = materialize(entries.join(materialize(mixed, "mixed", rows=total), "h").join(words, "node"), "entries", rows=total)
     c = F.col
     named = lambda prefix, rows: rows.select(*(c(x).alias(prefix + x) for x in entries.columns))
     short, long = named("u_", entries.where("short")), named("v_", entries)
-    fits = (c("u_h") == c("v_h")) & (c("u_root") != c("v_root")) & (F.struct("u_n", "u_node") < F.struct("v_n", "v_node")) & (100 * c("u_n") >= percent * c("v_n"))
+    fits = (c("u_h") == c("v_h")) & (c("u_root") != c("v_root")) & (F.struct("u_n", "u_node") < F.struct("v_n", "v_node")) & _possible("u_", "v_", percent)
     outer = short.where("u_root <> u_main").join(long, fits).select("u_node", "v_node")
     inner = short.where("u_root = u_main").join(long.where("v_root <> v_main"), fits).select("u_node", "v_node")
     pairs = outer.unionByName(inner).select(c("u_node").alias("u"), c("v_node").alias("v")).distinct()
-    pairs = _plausible(pairs, facts, percent)
     return materialize(pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(8)).cast("int").alias("salt")), "rest", rows=total)
