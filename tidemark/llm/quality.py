@@ -54,7 +54,7 @@ def statistics(text: str | None) -> list[float]:
         np.log1p(n),
         np.log1p(w),
         sum(map(len, words)) / w,
-        min(max(map(len, counts)), 200),
+        max(map(len, counts)),
         len(counts) / w,
         max(counts.values()) / w,
         repeats / w,
@@ -140,7 +140,11 @@ def bucket_of(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = 20_000) -> BoostedTrees:
-    """Fit on at most ``max_labelled`` labelled rows outside the held-out third."""
+    """Fit on at most ``max_labelled`` labelled doc_ids outside the held-out third, those of least hash.
+
+    Labels of one doc_id are averaged; a mean of exactly 0.5 counts as 1. Of rows that repeat a doc_id the one
+    of least statistics is taken, so that no more rows than doc_ids reach the driver.
+    """
     known = (
         labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id")) != 1))
         .groupBy("doc_id")
@@ -157,6 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
         .join(F.broadcast(known), "doc_id")
         .mapInPandas(rows, f"doc_id {labels.schema['doc_id'].dataType.simpleString()}, y int, x array<double>")
+        .groupBy("doc_id")
+        .agg(F.min(F.struct("x", "y")).alias("one"))
+        .select("doc_id", "one.*")
         .collect()
     )
     got.sort(key=lambda r: (r["doc_id"], r["x"]))
@@ -181,7 +188,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """Per row: doc_id, held_out, score, predicted.
 
     Null, empty and blank texts share one feature vector (all zeros) and get its score. Rows are
-    independent, so repeated rows get equal scores. Without labels every score is 0.5 and every
+    independent, so repeated rows get equal scores, and equal texts do; a text counts whole, however long.
+    Rows without a doc_id are scored too and are not held out. Without labels every score is 0.5 and every
     document is predicted 1. An empty table gives an empty result. Extra columns are ignored.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
