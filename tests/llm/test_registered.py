@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 from tidemark.llm import pii
 
-from .common import BYTE, WORD, base_spans, discovered_spans, documents, exact_groups, near_components, repeats as brute_repeats
+from .common import BYTE, WORD, base_spans, discovered_spans, documents, exact_groups, fingerprint as brute_fingerprint, likeness as brute_likeness, near_components, repeats as brute_repeats
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,3 +141,42 @@ def test_op9(spark, libraries):
         back = libraries[BYTE].decode(ids.tolist(), skip_special_tokens=False)
         assert (got[k]["n_tokens"], got[k]["ids_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert got[k]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
+
+
+def test_op5(spark, folder):
+    odd = ["a", "a\n", "a\n\n", "\n", "", None, "b\na", "a\nb", "one two three four five six seven\nshort", "日本語 " * 20 + "\n😀\x00\x1f", "x" * 100, "tab\tand\x0bothers here are all white space\r\n"]
+    for sf in (SF, folder(odd)):
+        rows, got = texts(spark, sf), {r["doc_id"]: r for r in run(spark, "op5_fingerprint", sf)}
+        assert len(got) == len(rows)
+        prints = [brute_fingerprint(t) for _, t in rows]
+        as_text = lambda f: f"{f[0]}-{f[1]}/" + ".".join(map(str, f[2]))
+        for i, (k, t) in enumerate(rows):
+            j, q, r = (i + 1) % len(rows), len(t) // 4, got[k]
+            edited = t[: len(t) - q] + rows[j][1][:q]
+            assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert r["fingerprint"] == as_text(prints[i]), t[:60]
+            assert r["edited_fingerprint"] == as_text(brute_fingerprint(edited))
+            assert abs(r["near_edited"] - brute_likeness(prints[i], brute_fingerprint(edited))) < 1e-9
+            assert abs(r["near_next"] - brute_likeness(prints[i], prints[j])) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op5_fingerprint", "op6_pii"])
+def test_native_queries_use_expressions_only(spark, name, monkeypatch):
+    """No plan on the way, of the result or of a table written before it, has Python in it."""
+    from tidemark.llm import exact_dedup, fingerprint, pii as pii_module
+
+    plans = []
+
+    def watched(module):
+        write = module.materialize
+
+        def seen(df, *args, **kwargs):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return write(df, *args, **kwargs)
+
+        monkeypatch.setattr(module, "materialize", seen)
+
+    for module in (exact_dedup, fingerprint, pii_module):
+        watched(module)
+    plans.append(entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any(x in plan for plan in plans for x in ("Python", "Arrow", "Pandas", "Cartesian", "MapPartitions"))

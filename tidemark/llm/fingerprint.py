@@ -4,10 +4,11 @@ Each paragraph is hashed to a wide vector of integers; a text's fingerprint is t
 vectors, lane by lane, modulo powers of two. So the order of paragraphs does not matter, and inserting or
 deleting one adds or subtracts its vector. A vector has two parts:
 
-* WIDE lanes, uniform modulo 2**31, expanded from the paragraph's SHA-256: equal sums mean equal multisets.
-* NEAR lanes, each the number of the paragraph's word pairs (of a short one: trigrams) whose hash has a given bit. They are additive
-  too. Read as sums of +1 and -1 they give an unbiased estimate of squared distances between multisets of
-  word pairs, from which the likeness of two fingerprints follows.
+* WIDE lanes modulo 2**31, cut from the paragraph's SHA-512, each from 32 bits of its own: 496 bits about a
+  paragraph, so equal sums mean equal multisets.
+* NEAR lanes: each word pair of the paragraph (of a short one: each trigram) adds 1 or -1, by its hash, to the lane
+  that its hash names. They are additive too, and squared distances between the lanes of two texts are unbiased
+  estimates of those between their multisets of word pairs, from which the likeness of two fingerprints follows.
 
 Everything is DataFrame expressions; texts are shuffled once.
 """
@@ -20,52 +21,57 @@ from pyspark.sql import functions as F
 from .storage import materialize, partitions
 
 WIDE = 16
-PACKED = 62  # two near lanes of 31 bits each
+BUCKETS, WAYS = 32, 4  # near lanes: rows of a partial sum, and lanes a row
 NO_ID = -(2**63)
 _MASK = (1 << 31) - 1
-_PAIR = (1 << 31) | 1
 TOKEN = r"\n|\S{1,16}"
-GRAM = r"(?=([^\n]{3}))"
 SHORT = 24
 
 
 def split_elements(frame: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, whole, x): each paragraph once, and each word pair (in paragraphs under SHORT code points: each trigram) of a paragraph.
+    """(keys, wide, x): the sums of the wide lanes, and a row for each word pair (in paragraphs under SHORT code points:
+    each trigram) of a paragraph, or a row with a null x if there is none.
 
-    Texts without elements give one row of nulls. Intermediate arrays are columns of their own, since
-    lambdas look into them at every step.
+    Paragraphs are what line feeds part, empty ones included; an empty text has no paragraph. Intermediate
+    arrays are columns of their own, since lambdas look into them at every step.
     """
     part = lambda keep: F.array_join(F.filter("paragraphs", keep), "\n")
-    made = frame.select(*keys, F.filter(F.split(text, "\n", -1), lambda p: p != "").alias("paragraphs"))
+    short = F.transform(F.filter("paragraphs", lambda p: (F.char_length(p) < SHORT) & (p != "")), lambda p: F.concat(F.lit("  "), p))
+    made = frame.select(*keys, F.when(F.col(text) != "", F.split(text, "\n", -1)).otherwise(F.array().cast("array<string>")).alias("paragraphs"))
     made = made.select(
-        "*",
+        *keys,
+        F.transform("paragraphs", lambda p: F.sha2(p, 512)).alias("digests"),
         F.regexp_extract_all(part(lambda p: F.char_length(p) >= SHORT), F.lit(TOKEN), F.lit(0)).alias("tokens"),
-        F.regexp_extract_all(F.array_join(F.transform(F.filter("paragraphs", lambda p: F.char_length(p) < SHORT), lambda p: F.concat(F.lit("  "), p)), "\n"), F.lit(GRAM), F.lit(1)).alias("grams"),
+        F.flatten(F.transform(short, lambda p: F.transform(F.sequence(F.lit(1), F.char_length(p) - 2), lambda i: F.substring(p, i, F.lit(3))))).alias("grams"),
     )
-    element = lambda whole, x: F.struct(whole.alias("whole"), x.alias("x"))
-    whole = F.transform("paragraphs", lambda p: element(F.lit(True), F.xxhash64(F.sha2(p, 256))))
-    pairs = F.transform("tokens", lambda w, i: element(w == "\n", F.xxhash64(w, F.coalesce(F.get("tokens", i + 1), F.lit("\n")))))
-    grams = F.transform("grams", lambda g: element(F.lit(False), F.xxhash64(g)))
-    made = made.select(*keys, F.explode_outer(F.concat(whole, F.filter(pairs, lambda e: ~e["whole"]), grams)).alias("e"))
-    return made.select(*keys, F.col("e.whole").alias("whole"), F.col("e.x").alias("x"))
+    pairs = F.transform("tokens", lambda w, i: F.when(w != "\n", F.xxhash64(w, F.coalesce(F.get("tokens", i + 1), F.lit("\n")))))
+    grams = F.transform("grams", lambda g: F.xxhash64(g))
+    # The lanes are summed here, once a text: beside an explode they would be summed for every row of it.
+    made = made.select(*keys, F.array(*map(_lane_sum, range(WIDE))).alias("wide"), F.array_compact(F.concat(pairs, grams)).alias("x"))
+    return made.select(*keys, "wide", F.explode_outer("x").alias("x"))
 
 
-def sums(whole: Column, x: Column) -> list[Column]:
-    """The aggregates of a fingerprint over elements. None can overflow: a text has under 2**31 elements."""
-    out = [F.coalesce(F.sum(F.when(whole, F.xxhash64(x, F.lit(j)).bitwiseAND(_MASK))), F.lit(0)).alias(f"w{j}") for j in range(WIDE)]
-    out.append(F.count(F.when(~whole, 1)).alias("pairs"))
-    for k in range(PACKED):
-        bits = x if k < 31 else F.xxhash64(x)
-        out.append(F.coalesce(F.sum(F.when(~whole, F.shiftrightunsigned(bits, k % 31).bitwiseAND(_PAIR))), F.lit(0)).alias(f"n{k}"))
-    return out
+def _lane_sum(j: int) -> Column:
+    """Lane j of all paragraphs: 32 bits of each digest, summed modulo 2**31."""
 
+    def add(total: Column, digest: Column) -> Column:
+        return (total + F.conv(F.substring(digest, 8 * j + 1, 8), 16, 10).cast("long")).bitwiseAND(_MASK)
 
-def collect(frame: DataFrame, keys: list[str], whole: str = "whole", x: str = "x") -> DataFrame:
-    """Group elements into (keys, wide, pairs, near)."""
-    found = frame.groupBy(*keys).agg(*sums(F.col(whole), F.col(x)))
-    wide = F.array(*(F.col(f"w{j}").bitwiseAND(_MASK) for j in range(WIDE)))
-    near = F.array(*(lane for k in range(PACKED) for lane in (F.col(f"n{k}").bitwiseAND(_MASK), F.shiftright(F.col(f"n{k}"), 31))))
-    return found.select(*keys, wide.alias("wide"), "pairs", near.alias("near"))
+    return F.aggregate("digests", F.lit(0).cast("long"), add)
+
+
+def collect(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Group elements into (keys, wide, pairs, near). Sums cannot overflow: a text has under 2**31 elements."""
+    x = F.col("x")
+    sign = 1 - F.shiftright(x, 7).bitwiseAND(1) * 2
+    way = F.shiftright(x, 5).bitwiseAND(WAYS - 1)
+    sums = [F.coalesce(F.sum(F.when(way == w, sign)), F.lit(0).cast("long")).alias(f"s{w}") for w in range(WAYS)]
+    rows = frame.groupBy(*keys, "wide", x.bitwiseAND(BUCKETS - 1).alias("b")).agg(*sums, F.count("x").alias("pairs"))
+    entry = F.when(F.col("b").isNotNull(), F.struct(F.col("b").alias("key"), F.array(*(f"s{w}" for w in range(WAYS))).alias("value")))
+    found = rows.groupBy(*keys, "wide").agg(F.map_from_entries(F.collect_list(entry)).alias("lanes"), F.sum("pairs").alias("pairs"))
+    zeros = F.array(*(F.lit(0).cast("long") for _ in range(WAYS)))
+    near = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("lanes", b.cast("long")), zeros)))
+    return found.select(*keys, "wide", "pairs", near.alias("near"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -76,17 +82,15 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
 
 
 def as_text(wide: Column, pairs: Column, near: Column) -> Column:
-    """Hexadecimal: the wide lanes, eight digits each, then the pair count and the near lanes."""
-    digits = lambda v: F.lower(F.hex(v))
-    return F.concat(F.array_join(F.transform(wide, lambda v: F.lpad(digits(v), 8, "0")), ""), F.lit("-"), digits(pairs), F.lit("-"), F.array_join(F.transform(near, digits), "."))
+    """The wide lanes in hexadecimal, eight digits each; then the number of pairs; then the near lanes."""
+    return F.concat(F.array_join(F.transform(wide, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), ""), F.lit("-"), pairs.cast("string"), F.lit("/"), F.array_join(F.transform(near, lambda v: v.cast("string")), "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1: 1 - |A-B|^2 / (|A|^2 + |B|^2), estimated from the near lanes; 1 for equal fingerprints."""
-    signed = lambda s, v: (2 * v - s["pairs"]).cast("double")
-    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v)
-    gap = total(F.zip_with(a["near"], b["near"], lambda x, y: signed(a, x) - signed(b, y)))
-    size = total(F.transform(a["near"], lambda x: signed(a, x))) + total(F.transform(b["near"], lambda y: signed(b, y)))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v.cast("double") * v)
+    gap = total(F.zip_with(a["near"], b["near"], lambda x, y: x - y))
+    size = total(a["near"]) + total(b["near"])
     same = (a["wide"] == b["wide"]) & (a["pairs"] == b["pairs"]) & (a["near"] == b["near"])
     return F.when(same, 1.0).when(size == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - gap / F.nullif(size, F.lit(0.0)))))
 
@@ -94,11 +98,12 @@ def likeness(a: Column, b: Column) -> Column:
 def _ordered(docs: DataFrame) -> DataFrame:
     """(d, h, n, prev_d, prev_h, prev_n) of each distinct row in order of d, then h; before the first comes the last.
 
-    Only ids and lengths move: range partitions, a window in each, and their edges (one row per partition).
+    Only ids and lengths move: range partitions (by both, so that rows without an id spread too), a window in
+    each, and their edges (one row per partition).
     """
     spark = docs.sparkSession
     sizes = materialize(
-        docs.select("d", "h", F.char_length("text").cast("long").alias("n")).repartitionByRange(partitions(spark), "d").withColumn("part", F.spark_partition_id()), "sizes"
+        docs.select("d", "h", F.char_length("text").cast("long").alias("n")).repartitionByRange(partitions(spark), "d", "h").withColumn("part", F.spark_partition_id()), "sizes"
     ).groupBy("part", "d", "h").agg(F.max("n").alias("n"))
     row = F.struct("d", "h", "n")
     edges = sizes.groupBy("part").agg(F.max(row).alias("last"))
@@ -114,10 +119,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The edited text has its last floor(n_chars/4) code points replaced by the first as many (or all) of
     the next document's. A null text counts as empty; empty texts have the zero fingerprint and likeness 1
-    to each other, 0 to texts that have words. Null doc_ids come first. Rows that repeat a doc_id follow
-    each other by a hash of their texts; rows that repeat doc_id and text count once in the order, and each
-    gets its output row. A single row is its own next document. Extra columns are ignored.
-    An empty table gives an empty result.
+    to each other, 0 to texts that have words. Empty paragraphs count, so "a", "a\\n" and "a\\n\\n" differ.
+    Texts of the same paragraphs in another order have equal fingerprints. Null doc_ids come first. Rows that
+    repeat a doc_id follow each other by a hash of their texts; rows that repeat doc_id and text count once in
+    the order, and each gets its output row. A single row is its own next document. Texts may be as long as a
+    row may be; extra columns are ignored. An empty table gives an empty result.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     order = materialize(_ordered(source), "order")
