@@ -180,3 +180,18 @@ def test_native_queries_use_expressions_only(spark, name, monkeypatch):
         watched(module)
     plans.append(entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString())
     assert len(plans) > 2 and not any(x in plan for plan in plans for x in ("Python", "Arrow", "Pandas", "Cartesian", "MapPartitions"))
+
+
+def test_rans_in_any_number_of_ranges(spark, libraries):
+    """More ranges than documents, one id held by most rows, and no table left in the catalog."""
+    from tidemark.llm import rans
+
+    docs = documents(spark, ["same"] * 30 + [f"text {i}" for i in range(30)] + [None, ""])
+    one = docs.selectExpr("CASE WHEN text = 'same' THEN 7 WHEN text IS NOT NULL THEN doc_id END AS doc_id", "text")
+    for ranges in (1, 300):
+        got, start = sorted(rans.round_trip(one, BYTE, ranges=ranges).collect(), key=lambda r: r["start"]), 0
+        assert [r["doc_id"] for r in got] == sorted((r["doc_id"] for r in one.collect()), key=lambda x: (x is not None, x or 0))
+        for r in got:
+            assert r["start"] == start and len(r["ids"]) == 4 * r["n_tokens"]
+            start += r["n_tokens"]
+    assert not [t for t in spark.catalog.listTables() if "ids" in t.name or "run" in t.name]

@@ -55,6 +55,16 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def _dtype(vocab: dict[str, int]) -> np.dtype:
+    """The narrower of two types that holds all ids."""
+    return np.dtype("<u2") if max(vocab.values(), default=0) < 65536 else np.dtype("<u4")
+
+
+def vocabulary_dtype(path: str) -> np.dtype:
+    with open(path, encoding="utf-8") as f:
+        return _dtype(json.load(f)["model"]["vocab"])
+
+
 class _Fragments:
     """Distinct fragments and their ids, within a byte budget; ``encode`` turns one fragment into its ids."""
 
@@ -111,7 +121,7 @@ class ForcedBoundaryBPE(_Library):
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         chars = byte_of_char()
-        self.dtype = np.dtype("<u2") if max(spec["model"]["vocab"].values(), default=0) < 65536 else np.dtype("<u4")
+        self.dtype = _dtype(spec["model"]["vocab"])
         self.token_bytes: list[bytes] = [b""] * (max(spec["model"]["vocab"].values(), default=0) + 1)
         inside = np.zeros(65536, bool)
         for token, i in spec["model"]["vocab"].items():
@@ -183,7 +193,7 @@ class WordSplitBPE(_Library):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.dtype = np.dtype("<u2") if max(spec["model"]["vocab"].values(), default=0) < 65536 else np.dtype("<u4")
+        self.dtype = _dtype(spec["model"]["vocab"])
         self._find = regex.compile(WORD_PATTERN).findall
         self._piece = None
         end = spec["model"].get("end_of_word_suffix")

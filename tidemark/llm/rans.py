@@ -1,11 +1,11 @@
 """Token-id files coded with a static range asymmetric numeral system (rANS).
 
 Writing
-  1. Documents are tokenised where they lie. Ids travel as compressed runs, one per (input batch,
-     range of doc_id), in a table bucketed by range: no text and no id is shuffled twice. The same
-     rows carry symbol counts; their sum over the whole corpus makes the shared frequency table.
-  2. Each range is sorted by doc_id and cut into blocks of whole documents. A block's ids go round
-     robin to interleaved coder lanes that advance together as numpy vectors.
+  1. Documents are tokenised where they lie, into a table of ids. Each task adds its symbol counts; their
+     sum over the whole corpus makes the shared frequency table.
+  2. The table is range-partitioned by doc_id and sorted within the ranges, by Spark; tasks stream their
+     range and cut it into blocks of whole documents, so that none holds more than a block. A block's ids go
+     round robin to interleaved coder lanes that advance together as numpy vectors.
 Reading needs only the files. A block is a header, a document index and segments; each segment starts
 with a checkpoint (all lane states) and ends with a CRC-32 of its ids, so segments decode in parallel
 and a damaged one is told apart.
@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import worker
-from .bpe import ForcedBoundaryBPE, encoder
-from .storage import bucketed, partitions, scratch_path
+from .bpe import ForcedBoundaryBPE, encoder, vocabulary_dtype
+from .storage import materialize, partitions, scratch_path
 
 PRECISION = 20
 LANES = 4096
@@ -148,41 +148,32 @@ def unpack_block(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return lens, np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def write(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> None:
-    """Tokenise all texts, append ``end_id`` to each, and write ``path``/blocks and ``path``/table."""
+def write(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, ranges: int | None = None) -> None:
+    """Tokenise all texts, append ``end_id`` to each, and write ``path``/blocks, ``path``/table and ``path``/ranges.
+
+    ``ranges`` (the session's shuffle partitions if not given) sets how many tasks encode; a task's memory does not depend on it.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.count(F.lit(1)), F.sum(F.coalesce(F.octet_length("text"), F.lit(0)))).first()
-    ranges = int(max(1, min(max(partitions(spark), (size[1] or 0) // 24_000_000), size[0])))
-    cuts = np.array(docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or [] if ranges > 1 else [], np.int64)
+    names, kinds = ["doc_id", "n", "ids", "symbols", "counts"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
     def tokenise(batches):
-        import zstandard
-
         worker.claim("rans")
-        bpe, squeeze = encoder(ForcedBoundaryBPE, vocabulary), zstandard.ZstdCompressor(3)
+        bpe = encoder(ForcedBoundaryBPE, vocabulary)
         counts = np.zeros(len(bpe.token_bytes), np.int64)
-        names = ["part", "docs", "lens", "ids", "symbols", "counts"]
-        kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            ids = [np.append(x, bpe.dtype.type(end_id)) for x in bpe.encode_whole(texts)]
-            doc = batch.column(0).to_pylist()
-            known = np.array([x if x is not None else np.iinfo(np.int64).min for x in doc], np.int64)
-            part = np.searchsorted(cuts, known, side="right")
-            rows = []
-            for p in np.unique(part).tolist():
-                own = np.flatnonzero(part == p).tolist()
-                run = np.concatenate([ids[i] for i in own])
-                counts += np.bincount(run, minlength=len(counts))
-                rows.append((p, [doc[i] for i in own], [len(ids[i]) for i in own], squeeze.compress(run.astype("<u4" if bpe.dtype.itemsize == 4 else "<u2").tobytes()), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
+            for lo in range(0, batch.num_rows, 1000):
+                part = batch.slice(lo, 1000)
+                ids = [np.append(x, bpe.dtype.type(end_id)) for x in bpe.encode_whole([x or "" for x in part.column(1).to_pylist()])]
+                counts += np.bincount(np.concatenate(ids), minlength=len(counts))
+                cols = [part.column(0), [len(x) for x in ids], [x.tobytes() for x in ids], [None] * len(ids), [None] * len(ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) if isinstance(x, list) else x for x, k in zip(cols, kinds, strict=True)], names=names)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((-1, None, None, None, used.tolist(), counts[used].tolist()), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, -1, None, used.tolist(), counts[used].tolist()), kinds, strict=True)], names=names)
 
-    runs = bucketed(docs.mapInArrow(tokenise, "part int, docs array<long>, lens array<long>, ids binary, symbols array<int>, counts array<long>"), "id_runs", "part", ranges)
+    runs = materialize(docs.mapInArrow(tokenise, "doc_id long, n long, ids binary, symbols array<int>, counts array<long>"), "ids")
     table = (
-        runs.where("part < 0").select(F.explode(F.arrays_zip("symbols", "counts")).alias("z"))
+        runs.where("n < 0").select(F.explode(F.arrays_zip("symbols", "counts")).alias("z"))
         .groupBy(F.col("z.symbols").alias("symbol")).agg(F.sum("z.counts").alias("n"))
     )
     counted = table.collect()  # at most one row per vocabulary entry
@@ -191,39 +182,39 @@ def write(docs: DataFrame, vocabulary: str, path: str, *, id_col: str = "doc_id"
         counts[r["symbol"]] = r["n"]
     freq = scale(counts)
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(freq.tolist()) if f], "symbol int, frequency long").coalesce(1).write.parquet(f"{path}/table")
-    totals = runs.where("part >= 0").groupBy("part").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()  # one row per range
-    before, start = {}, 0
-    for r in sorted(totals, key=lambda r: r["part"]):
-        before[r["part"]] = start
-        start += r["n"]
-    wide = max(len(freq), 1) > 65536
-
-    def blocks(key, group):
-        import zstandard
-
-        coder, expand, part = Coder(freq), zstandard.ZstdDecompressor(), key[0].as_py()
-        doc = [x for row in group["docs"].to_pylist() for x in row]
-        lens = np.array([x for row in group["lens"].to_pylist() for x in row], np.int64)
-        ids = [np.frombuffer(expand.decompress(x.as_buffer(), max_output_size=8 * int(lens.sum()) + 64), "<u4" if wide else "<u2") for x in group["ids"]]
-        ids = np.concatenate(ids)
-        at = np.cumsum(lens) - lens
-        order = sorted(range(len(doc)), key=lambda i: (doc[i] is not None, doc[i] or 0, int(lens[i]), ids[at[i] : at[i] + lens[i]].tobytes()))
-        out, lo, first = [], 0, before[part]
-        while lo < len(order):
-            hi, n = lo, 0
-            while hi < len(order) and (hi == lo or n + lens[order[hi]] <= BLOCK_IDS):
-                n += int(lens[order[hi]])
-                hi += 1
-            own = order[lo:hi]
-            data = pack_block(coder, lens[own], np.concatenate([ids[at[i] : at[i] + lens[i]] for i in own]))
-            out.append((part, len(out), first, [doc[i] for i in own], data))
-            first, lo = first + n, hi
-        cols = zip(*out, strict=True)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=["part", "block", "start", "docs", "data"])
-
-    coded = runs.where("part >= 0").select("part", "docs", "lens", "ids").groupBy("part").applyInArrow(blocks, "part int, block int, start long, docs array<long>, data binary")
-    coded.write.option("compression", "none").parquet(f"{path}/blocks")
+    kind = vocabulary_dtype(vocabulary)
+
+    def blocks(batches):
+        from pyspark import TaskContext
+
+        worker.claim("rans")
+        coder, part, block, start, own, ids, size = Coder(freq), TaskContext.get().partitionId(), 0, 0, [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            data = pack_block(coder, np.array([len(x) for x in ids], np.int64), np.concatenate(ids))
+            values = zip((part, block, start, size, own, data), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in values], names=["part", "block", "start", "n", "docs", "data"])
+
+        for batch in batches:
+            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = np.frombuffer(data.as_buffer(), kind)
+                if own and size + len(found) > BLOCK_IDS:
+                    yield packed()
+                    block, start, own, ids, size = block + 1, start + size, [], [], 0
+                own.append(doc)
+                ids.append(found)
+                size += len(found)
+        if own:
+            yield packed()
+
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("n"), F.xxhash64("ids")]
+    ordered = runs.where("n >= 0").repartitionByRange(ranges or partitions(spark), *keys).sortWithinPartitions(*keys).select("doc_id", "ids")
+    schema = "part int, block int, start long, n long, docs array<long>, data binary"
+    ordered.mapInArrow(blocks, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    coded = spark.read.schema(schema).parquet(f"{path}/blocks")
+    sizes = coded.groupBy("part").agg(F.sum("n").alias("n"))  # one row per range, here and in the window
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    sizes.select("part", before).coalesce(1).write.parquet(f"{path}/ranges")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -233,10 +224,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     for r in table:
         freq[r["symbol"]] = r["frequency"]
 
+    before = {r["part"]: r["before"] for r in spark.read.schema("part int, before long").parquet(f"{path}/ranges").collect()}  # one row per range
+
     def decode(batches):
         coder = Coder(freq)
         for batch in batches:
-            for start, doc, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for part, start, doc, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                start += before[part]
                 lens, ids = unpack_block(coder, data)
                 ends = np.cumsum(lens)
                 ids = ids.astype("<u4")
@@ -252,16 +246,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    blocks = spark.read.schema("part int, block int, start long, docs array<long>, data binary").parquet(f"{path}/blocks")
-    return blocks.select("start", "docs", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    blocks = spark.read.schema("part int, block int, start long, n long, docs array<long>, data binary").parquet(f"{path}/blocks")
+    return blocks.select("part", "start", "docs", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(docs: DataFrame, vocabulary: str, **columns) -> DataFrame:
     """Write the files to the shared folder and read them back.
 
     A null text counts as empty (its only id is the end id). Null doc_ids come first; rows that repeat
-    a doc_id follow each other by length, then ids. Extra columns are ignored. An empty table gives
-    files without blocks and an empty result.
+    a doc_id follow each other by length, then by a hash of their ids, and equal rows in any order: they
+    spread over as many ranges as they need. A text longer than a block is a block of its own. Extra
+    columns are ignored. An empty table gives files without blocks and an empty result.
     """
     path = scratch_path(docs.sparkSession, "rans")
     write(docs, vocabulary, path, **columns)
