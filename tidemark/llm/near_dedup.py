@@ -30,7 +30,7 @@ from .storage import bucketed, materialize, partitions
 GROUPS, ROWS = 12, 3
 PERCENT = 85
 LAST = 2**63 - 1
-SALT_EDGES = 512
+SALT_EDGES = 64
 LAST_ROUND = 0.05  # rounds end when one finds fewer links a live node
 WORDS = [f"p{i}" for i in range(PARITY_WORDS)]
 BITMAP_BITS = 1 << 22
