@@ -1,17 +1,18 @@
-"""Rolling price features as column builders over one shared window per symbol."""
+"""Rolling price features as column builders over shared windows per symbol."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import SYMBOL, TIMESTAMP, PanelError, require
 
 TRADING_DAYS = 252
 FEATURES = ("daily_return", "log_return", "rolling_vol_20d", "sma_5d", "sma_20d", "ema_5d", "ema_20d", "rolling_vol_volume_20d")
+FORGET = 40.0  # a weight of exp(-40) is below what a double can tell
 
 
 def by_symbol():
@@ -59,27 +60,68 @@ def rolling_volume(n: int = 20) -> Column:
 def with_ema(df: DataFrame, spans: tuple[int, ...], price: str = "close") -> DataFrame:
     """Adds ema_{n}d: exponentially weighted means with weights normalised by their sum, null until n values.
 
-    Spark has no such window function; each symbol's history goes through one grouped-map call, which
-    needs (and leaves) the same partitioning by symbol as the other features.
+    A row without a price has no mean of its own, but ages the weights of those before it.
     """
     for n in spans:
-        _window(n)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", ema_{n}d double" for n in spans)
+        df = _one_ema(df, _window(n), price)
+    return df
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(TIMESTAMP, kind="stable")
-        return part.assign(**{f"ema_{n}d": part[price].ewm(span=n, adjust=True, min_periods=n).mean() for n in spans})
 
-    return df.groupBy(SYMBOL).applyInPandas(add, schema)
+def _one_ema(df: DataFrame, n: int, price: str) -> DataFrame:
+    """Window functions alone, in constant memory and the partitioning by symbol that the other features have.
+
+    A symbol's rows are cut into blocks as long as weights matter. Within a block, the weighted sum up to a
+    row is a running sum of values scaled up by their place, scaled down again; all that matters from before is
+    the sum at the end of the last block, which ages by the row's place.
+    """
+    whole = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    ready = (F.count(price).over(whole) >= n) & F.col(price).isNotNull()
+    if n == 1:
+        return df.withColumn(f"ema_{n}d", F.when(ready, F.col(price).cast("double")))
+    keep = 1 - 2 / (n + 1)
+    size = math.ceil(FORGET / -math.log(keep))
+    made = df.withColumn("_row", F.row_number().over(by_symbol()) - 1)
+    made = made.withColumns({"_block": F.floor(F.col("_row") / size), "_place": F.col("_row") % size})
+    inside = Window.partitionBy(SYMBOL, "_block").orderBy(TIMESTAMP).rowsBetween(Window.unboundedPreceding, 0)
+    up, down = F.pow(F.lit(1 / keep), F.col("_place")), F.pow(F.lit(keep), F.col("_place"))
+    value = F.coalesce(F.col(price).cast("double"), F.lit(0.0))
+    made = made.withColumns({"_sum": F.sum(value * up).over(inside) * down, "_weight": F.sum(F.when(F.col(price).isNotNull(), up).otherwise(0.0)).over(inside) * down})
+    earlier = by_symbol().rowsBetween(Window.unboundedPreceding, -1)
+    carried = lambda c: F.coalesce(F.last(F.when(F.col("_place") == size - 1, F.col(c)), ignorenulls=True).over(earlier), F.lit(0.0)) * down * keep
+    mean = F.try_divide(F.col("_sum") + carried("_sum"), F.col("_weight") + carried("_weight"))
+    return made.withColumn(f"ema_{n}d", F.when(ready, mean)).drop("_row", "_block", "_place", "_sum", "_weight")
 
 
 def with_features(bars: DataFrame, feature_set_id: Column | str | None = None) -> DataFrame:
-    """All eight features; the window functions share one exchange and one sort."""
+    """All eight features; the window functions share one exchange by symbol."""
     require(bars, [SYMBOL, TIMESTAMP, "close", "volume"], "bars")
-    out = with_ema(bars, (5, 20))
-    out = out.withColumns({"daily_return": daily_return(), "log_return": log_return()})
+    out = bars.withColumns({"daily_return": daily_return(), "log_return": log_return()})
     out = out.withColumns({"rolling_vol_20d": rolling_volatility(20), "sma_5d": sma(5), "sma_20d": sma(20), "rolling_vol_volume_20d": rolling_volume(20)})
-    out = out.select(*bars.columns, *FEATURES)
+    out = with_ema(out, (5, 20)).select(*bars.columns, *FEATURES)
     if feature_set_id is None:
         return out
     return out.withColumn("feature_set_id", F.lit(feature_set_id) if isinstance(feature_set_id, str) else feature_set_id)
+
+
+def build_pit_feature_set(spark: SparkSession, path: str, symbol: str, *, as_of) -> DataFrame:
+    """One symbol's features from bars known by ``as_of``; the set's id names the last bar found."""
+    from ..plans.fingerprints import feature_set_id
+    from ..sources.bars import point_in_time, scan
+
+    known = point_in_time(scan(spark, path), as_of=as_of, symbols=[symbol])
+    last = known.agg(F.max(F.to_date(TIMESTAMP))).first()[0]
+    return with_features(known, feature_set_id(path, symbol, last))
+
+
+def build_feature_set(spark: SparkSession, path: str, symbol: str) -> DataFrame:
+    """The same without a cutoff, over whatever bars the file holds: for comparison only, since it can look ahead."""
+    from ..plans.fingerprints import feature_set_id
+
+    try:
+        raw = spark.read.parquet(path)
+    except AnalysisException as e:
+        raise PanelError(f"{path} cannot be read") from e
+    own = raw.where(F.col(SYMBOL) == symbol.strip().upper())
+    if own.isEmpty():
+        raise PanelError(f"{path} has no rows of {symbol.strip().upper()}")
+    return with_features(own, feature_set_id(path, symbol))

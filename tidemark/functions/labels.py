@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import KEY, SYMBOL, TIMESTAMP, PanelError, check, forbid, require
+from ..schema import BAR_COLUMNS, KEY, SYMBOL, TIMESTAMP, PanelError, check, forbid, require
 from .features import by_symbol
 
 REASON = "target_null_reason"
-# Names that a label must not take and that inputs must not hold.
-RESERVED = ("symbol", "timestamp", "open", "high", "low", "close", "volume", "trade_count", "vwap", REASON)
-OUTPUTS = ("signal", "alpha", "position", "weight", "order", "trade", "prediction")
+# Names that inputs must not hold, and that a label must not take either.
+OUTPUTS = ("alpha", "order", "position", "prediction", "qty", "quantity", "side", "signal", "target", "target_weight", "trade", "weight")
+RESERVED = (*BAR_COLUMNS, REASON, *OUTPUTS)
 
 
 def label_name(horizon: int, name: str | None = None) -> str:
@@ -43,7 +43,7 @@ def with_labels(bars: DataFrame, horizon: int = 1, *, price: str = "close", name
     """Adds the label and the reason why it is null."""
     label = label_name(horizon, name)
     require(bars, [*KEY, price], "bars")
-    forbid(bars, OUTPUTS, ("label_", "target_"), "bars")
+    forbid(bars, [*OUTPUTS, "label", label], ("label_", "target_"), "bars")
     if strict:
         check(bars, what="bars", prices=[price])
     return bars.withColumns({label: forward_return(horizon, price), REASON: null_reason(horizon, price)})

@@ -18,7 +18,7 @@ from ..schema import SYMBOL, TIMESTAMP, PanelError, check, forbid, require
 
 # The slippage field of each stress level, and names that results must not hold.
 STRESS_FIELDS = {"none": "slippage_bps_daily", "2x": "slippage_bps_stress_2x", "5x": "slippage_bps_stress_5x"}
-FORBIDDEN = ("order", "orders", "fill", "fills", "signal", "broker")
+FORBIDDEN = ("alpha", "order", "prediction", "signal", "target", "trade")
 
 
 @dataclass(frozen=True)
@@ -32,8 +32,9 @@ class CostModel:
     def rate(self) -> float:
         return (self.commission_bps + self.slippage_bps) / 10_000.0
 
-    def times(self, factor: float) -> CostModel:
-        return CostModel(self.commission_bps * factor, self.slippage_bps * factor)
+    def stressed(self, factor: float) -> CostModel:
+        """Slippage times ``factor``; commissions are agreed on and stay."""
+        return CostModel(self.commission_bps, self.slippage_bps * factor)
 
 
 def load_costs(path: str, stress: str = "none") -> CostModel:
@@ -47,6 +48,11 @@ def load_costs(path: str, stress: str = "none") -> CostModel:
     return CostModel(float(found.get("commission_bps", 0.0)), float(found[STRESS_FIELDS[stress]]))
 
 
+def load_stress(path: str) -> dict[str, CostModel]:
+    """The costs of the two stress levels as the file states them, by variant of the null battery."""
+    return {f"cost_stress_{level}": load_costs(path, level) for level in STRESS_FIELDS if level != "none"}
+
+
 def with_outcome(df: DataFrame, horizon: int = 1, price: str = "close", name: str = "forward_return") -> DataFrame:
     """price[t+h] / price[t] - 1 per symbol; null where unknown or the price is zero."""
     w = Window.partitionBy(SYMBOL).orderBy(TIMESTAMP)

@@ -31,13 +31,16 @@ class Boundaries:
 def boundaries(n: int, *, max_horizon: int, train_fraction: float = 0.6, validation_fraction: float = 0.2, embargo: int | None = None, purge_validation: bool = False) -> Boundaries:
     if n < 3:
         raise PanelError("a split needs at least three distinct times")
-    if max_horizon < 1 or (embargo is not None and embargo < 0):
-        raise PanelError("max_horizon must be at least 1 and embargo not negative")
+    embargo = max_horizon if embargo is None else embargo
+    if any(isinstance(x, bool) or not isinstance(x, int) for x in (max_horizon, embargo)) or max_horizon < 1:
+        raise PanelError("max_horizon and embargo are whole numbers, max_horizon at least 1")
+    if embargo < max_horizon:
+        raise PanelError("an embargo below max_horizon lets labels leak into the evaluation")
     if not (0 < train_fraction < 1 and 0 < validation_fraction < 1 and train_fraction + validation_fraction < 1):
         raise PanelError("fractions must lie between 0 and 1 and leave room for a test block")
     train_end = max(1, int(n * train_fraction))
     validation_end = min(max(train_end + 1, int(n * (train_fraction + validation_fraction))), n - 1)
-    return Boundaries(n, train_end, validation_end, max_horizon, max_horizon if embargo is None else embargo, purge_validation)
+    return Boundaries(n, train_end, validation_end, max_horizon, embargo, purge_validation)
 
 
 def positions(df: DataFrame) -> DataFrame:
@@ -75,6 +78,8 @@ def violations(df: DataFrame, assigned: DataFrame, b: Boundaries) -> DataFrame:
 
 
 def assert_split(df: DataFrame, assigned: DataFrame, b: Boundaries) -> None:
+    if b.embargo < b.max_horizon:
+        raise PanelError("invalid split: its embargo is below its horizon")
     got = violations(df, assigned, b).first()
     if any(got):
         raise PanelError(f"invalid split: {got.asDict()}")

@@ -15,7 +15,7 @@ from ..sources.bars import between, tickers
 
 ELIGIBLE, REASON, CUTOFF, HORIZON = "eligible", "eligibility_reason", "feature_cutoff", "max_label_horizon"
 # Column names that a research dataset must not hold.
-FORBIDDEN = ("alpha", "signal", "prediction", "score", "weight", "position", "order", "trade", "target", "label")
+FORBIDDEN = ("alpha", "label", "order", "position", "prediction", "qty", "quantity", "side", "signal", "target", "trade", "weight", "y")
 
 
 @dataclass
@@ -105,7 +105,7 @@ def research_dataset(bars: DataFrame, features: DataFrame, *, feature_columns: S
         check(bars, what="bars")
         check(features, what="features")
     out = bars.join(features.select(*KEY, *feature_columns), list(KEY))
-    forbid(out, FORBIDDEN, ("label_", "target_"), "research dataset")
+    forbid(out, FORBIDDEN, (), "research dataset")
     if strict and out.isEmpty():
         raise PanelError("bars and features share no key")
     return out.orderBy(*KEY)

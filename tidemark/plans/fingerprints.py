@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..schema import PanelError
 
-BUCKETS = 4096
+LANES = 8
 
 
 def canonical(value: Any) -> str:
@@ -46,17 +46,18 @@ def target_id(fingerprint: str, horizons: Sequence[int]) -> str:
 
 
 def frame_digest(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One row, fingerprint and n_rows: the digest of the sorted digests of all rows.
+    """One row, fingerprint and n_rows: a multiset hash, the SHA-256 of the number and the summed digests of all rows.
 
-    Two levels keep every sorted list small: rows meet in BUCKETS lists by their own digest, and only
-    the buckets' digests meet in one. Column names and types take part.
+    A row's digest is cut into LANES numbers of 32 bits, which are summed apart: no list of rows is ever
+    gathered, and their order cannot matter. Column names and types take part.
     """
     columns = list(columns or df.columns)
     row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    named = df.select(row.alias("h")).groupBy(F.pmod(F.xxhash64("h"), F.lit(BUCKETS)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"), F.count(F.lit(1)).alias("n"))
+    lanes = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(LANES)]
+    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("n_rows"), *lanes)
     header = canonical([[c, df.schema[c].dataType.simpleString()] for c in columns])
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "")
-    return named.agg(F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(header), joined), 256)).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
+    total = F.concat_ws("|", F.lit(header), "n_rows", *(F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(LANES)))
+    return sums.select(F.concat(F.lit("sha256:"), F.sha2(total, 256)).alias("fingerprint"), "n_rows")
 
 
 def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> str:

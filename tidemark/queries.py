@@ -23,7 +23,7 @@ AS_OF = "1997-06-30"
 START = "1995-07-01"
 HORIZON = 5
 SEED = 11
-COST = backtest.CostModel(0.0, 5.0)
+COST = backtest.CostModel(1.0, 5.0)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,10 +75,10 @@ FROM labelled l LEFT JOIN bars v USING (symbol, "timestamp") JOIN known k USING
     "shuffled": """SELECT a.symbol, a."timestamp", a.fwd, b.weight FROM (SELECT *, row_number() OVER (ORDER BY h2, symbol, "timestamp") AS i FROM draws) a JOIN (SELECT weight, row_number() OVER (ORDER BY h3, symbol, "timestamp") AS i FROM draws) b USING (i)""",
     "shifted": """SELECT symbol, "timestamp", fwd, coalesce(lag(weight, 1, 0.0) OVER (PARTITION BY symbol ORDER BY "timestamp"), 0.0) AS weight FROM scored""",
     "leaked": """SELECT symbol, "timestamp", fwd, coalesce(sign(fwd)::DOUBLE, 0.0) AS weight FROM scored""",
-    "variants": """SELECT 'baseline' AS variant, 0.0005::DOUBLE AS rate, symbol, "timestamp", fwd, weight FROM scored UNION ALL SELECT 'cost_stress_2x', 0.001, symbol, "timestamp", fwd, weight FROM scored
-UNION ALL SELECT 'cost_stress_5x', 0.0025, symbol, "timestamp", fwd, weight FROM scored UNION ALL SELECT 'random_weights', 0.0005, symbol, "timestamp", fwd, weight FROM randomised
-UNION ALL SELECT 'shuffled_weights', 0.0005, symbol, "timestamp", fwd, weight FROM shuffled UNION ALL SELECT 'shifted_weights', 0.0005, symbol, "timestamp", fwd, weight FROM shifted
-UNION ALL SELECT 'future_leak', 0.0005, symbol, "timestamp", fwd, weight FROM leaked""",
+    "variants": """SELECT 'baseline' AS variant, 0.0006::DOUBLE AS rate, symbol, "timestamp", fwd, weight FROM scored UNION ALL SELECT 'cost_stress_2x', 0.0011, symbol, "timestamp", fwd, weight FROM scored
+UNION ALL SELECT 'cost_stress_5x', 0.0026, symbol, "timestamp", fwd, weight FROM scored UNION ALL SELECT 'random_weights', 0.0006, symbol, "timestamp", fwd, weight FROM randomised
+UNION ALL SELECT 'shuffled_weights', 0.0006, symbol, "timestamp", fwd, weight FROM shuffled UNION ALL SELECT 'shifted_weights', 0.0006, symbol, "timestamp", fwd, weight FROM shifted
+UNION ALL SELECT 'future_leak', 0.0006, symbol, "timestamp", fwd, weight FROM leaked""",
     "traded": """SELECT variant, "timestamp", weight * fwd AS pnl, abs(weight - lag(weight, 1, 0.0) OVER (PARTITION BY variant, symbol ORDER BY "timestamp")) AS turnover, rate FROM variants WHERE fwd IS NOT NULL""",
     "netted": """SELECT variant, "timestamp", sum(pnl) AS gross_return, sum(turnover * rate) AS cost, sum(turnover) AS turnover, sum(pnl) - sum(turnover * rate) AS net_return FROM traded GROUP BY variant, "timestamp" """,
     "curve": """SELECT *, product(1 + net_return) OVER (PARTITION BY variant ORDER BY "timestamp" ROWS UNBOUNDED PRECEDING) AS equity FROM netted""",
@@ -166,7 +166,7 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = bars(spark, sf_dir).join(F.broadcast(brands(spark, sf_dir)), SYMBOL)  # brands: 25 rows at any size
+    joined = bars(spark, sf_dir).join(brands(spark, sf_dir), SYMBOL)
     return joined.withColumn("weight", ((F.dayofyear(TIMESTAMP) * 7 + F.col("a") * 13 + F.col("b") * 29) % 21 - 10) / 10.0).drop("a", "b")
 
 
@@ -445,7 +445,7 @@ def null_battery(spark, sf_dir):
 @query(f"SELECT variant, {_METRICS} FROM measured WHERE variant IN ('baseline', 'cost_stress_2x', 'cost_stress_5x')")
 def cost_stress(spark, sf_dir):
     scored = _scored(spark, sf_dir)
-    levels = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(COST.times(k).rate).alias("cost_rate")) for v, k in (("baseline", 1), ("cost_stress_2x", 2), ("cost_stress_5x", 5))))
+    levels = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(COST.stressed(k).rate).alias("cost_rate")) for v, k in (("baseline", 1), ("cost_stress_2x", 2), ("cost_stress_5x", 5))))
     stacked = scored.select(F.inline(levels), *scored.columns)
     rows = backtest.realised(stacked, cost_rate="cost_rate", by=["variant"])
     return _metrics(backtest.metrics(backtest.periods(rows, ["variant"]), ["variant"]))
@@ -472,12 +472,13 @@ def signal_validation(spark, sf_dir):
     return checked.select("signal_id", "rejection_reason")
 
 
-@query("""SELECT symbol, round(coalesce(q * p / 1000000.0::DOUBLE, 0.0), 6) AS current_weight FROM brands LEFT JOIN (SELECT p_brand AS symbol, sum(l_quantity) AS q, round(avg(l_extendedprice), 4) AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 AND p_size < 5 GROUP BY 1) USING (symbol)""")
+@query("""SELECT symbol, round(coalesce(q * p / 1000000000.0::DOUBLE, 0.0), 6) AS current_weight FROM brands LEFT JOIN (SELECT p_brand AS symbol, sum(l_quantity) AS q, round(avg(l_extendedprice), 4) AS p FROM lineitem JOIN part ON l_partkey = p_partkey WHERE CAST(substr(p_brand, 7) AS INT) % 5 <> 2 GROUP BY 1) USING (symbol)""")
 def position_weight(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_partkey", "l_quantity", "l_extendedprice")
-    parts = table(spark, sf_dir, "part").where("p_size < 5").select("p_partkey", F.col("p_brand").alias(SYMBOL))
+    """Every line of a brand is a position in it; brands of one remainder are not held and weigh nothing."""
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias(SYMBOL)).where(F.substring(SYMBOL, 7, 9).cast("int") % 5 != 2)
     held = items.join(parts, items.l_partkey == parts.p_partkey).groupBy(SYMBOL).agg(F.sum("l_quantity").alias("qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"))
-    found = signals.position_weights(brands(spark, sf_dir).select(SYMBOL), held, F.lit(1_000_000.0))
+    found = signals.position_weights(brands(spark, sf_dir).select(SYMBOL), held, F.lit(1_000_000_000.0))
     return _rounded(found, "current_weight", digits=6)
 
 
@@ -488,15 +489,15 @@ def order_ids(spark, sf_dir):
     return signals.orders(sent.select(F.concat(F.lit("sig-"), "l_orderkey").alias("signal_id"), "targets"))
 
 
-@query('SELECT upper(symbol) AS symbol, "timestamp", "open", high, low, "close", volume, trade_count, vwap FROM bars WHERE year("timestamp") = 1996')
+@query('SELECT upper(symbol) AS symbol, "timestamp", "open", high, low, "close", volume, trade_count, vwap FROM bars')
 def bars_json_flatten(spark, sf_dir):
+    """Every bar, in one page for each symbol and month: a page holds 31 bars at most."""
     own = bars(spark, sf_dir)
     day = F.date_format(TIMESTAMP, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     raw = F.struct(day.alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").alias("v"), F.col("trade_count").alias("n"), F.col("vwap").alias("vw"))
-    month = F.date_format(TIMESTAMP, "yyyy-MM").alias("m")
-    pages = own.groupBy(month, SYMBOL).agg(F.collect_list(raw).alias("list")).groupBy("m").agg(F.map_from_entries(F.collect_list(F.struct(SYMBOL, "list"))).alias("bars"))
-    every = flatten(pages.select(F.to_json(F.struct("bars")).alias("value"))).withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
-    return every.where(F.year(TIMESTAMP) == 1996)  # every bar is flattened; the oracle returns one year
+    pages = own.groupBy(SYMBOL, F.date_format(TIMESTAMP, "yyyy-MM").alias("m")).agg(F.collect_list(raw).alias("list"))
+    pages = pages.select(F.to_json(F.struct(F.create_map(SYMBOL, "list").alias("bars"))).alias("value"))
+    return flatten(pages).withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -504,9 +505,22 @@ def dup_keys(spark, sf_dir):
     return duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@query()
+def _digest_sql(columns: list[tuple[str, str]], rows: str) -> str:
+    """The multiset hash in SQL, over rows that hold each column's JSON text."""
+    header = fingerprints.canonical([[c, kind] for c, kind in columns])
+    json = " || ',' || ".join(f"""'"{c}":' || {c}""" for c, _ in columns)
+    lanes = ", ".join(f"coalesce(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)::HUGEINT), 0) AS s{i}" for i in range(fingerprints.LANES))
+    total = " || '|' || ".join(["n_rows", *(f"s{i}" for i in range(fingerprints.LANES))])
+    return f"SELECT 'sha256:' || sha256('{header}' || '|' || {total}) AS fingerprint, n_rows FROM (SELECT count(*) AS n_rows, {lanes} FROM (SELECT sha256('{{' || {json} || '}}') AS h FROM ({rows})))"
+
+
+_PRINTED = """SELECT '"' || symbol || '"' AS symbol, '"' || strftime("timestamp", '%Y-%m-%d') || '"' AS day, '"' || printf('%.2f', "close") || '"' AS price, CAST(volume AS VARCHAR) AS volume FROM bars"""
+
+
+@query(_digest_sql([(SYMBOL, "string"), ("day", "string"), ("price", "string"), ("volume", "bigint")], _PRINTED))
 def frame_fingerprint(spark, sf_dir):
-    return fingerprints.frame_digest(bars(spark, sf_dir).select(*KEY, "close", "volume"))
+    printed = bars(spark, sf_dir).select(SYMBOL, F.date_format(TIMESTAMP, "yyyy-MM-dd").alias("day"), F.format_string("%.2f", "close").alias("price"), "volume")
+    return fingerprints.frame_digest(printed)
 
 
 _EVENTS = "SELECT event_type AS symbol, date_trunc('hour', ts) AS \"timestamp\", arg_min(value, row(ts, event_id)) AS \"open\", max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS \"close\", count(*) AS trade_count FROM events GROUP BY 1, 2"

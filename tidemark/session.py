@@ -14,6 +14,19 @@ DEFAULTS = {
 }
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that the driver and all executors share; on a local master without the setting, one of its own."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import SYMBOL, TIMESTAMP
+from ..session import shared_dir
 
 
 def build(ticks: DataFrame, *, width: str = "1 hour", late: str = "10 minutes", symbol: str = "event_type", time: str = "ts", value: str = "value", sequence: str = "event_id") -> DataFrame:
@@ -58,14 +59,18 @@ def running_ema(ticks: DataFrame, span: int, *, symbol: str = SYMBOL, time: str
 def run_once(spark: SparkSession, path: str, **options) -> DataFrame:
     """All available rows of a Parquet path through a real stream; the finished bars as a batch.
 
-    The complete mode returns every bar, open ones too, so the result equals that of one batch.
+    The complete mode returns every bar, open ones too, so the result equals that of one batch. Bars go from the
+    executors to Parquet in the shared folder, each batch in place of the last, and never to the driver.
     """
-    import uuid
-
     schema = spark.read.parquet(path).schema
-    name = f"bars_{uuid.uuid4().hex}"
     either = f"{path[:-1]}[{path[-1]}]"  # as a pattern, so that a single file serves as well as a folder
-    ticks = spark.readStream.schema(schema).parquet(either)
-    query = build(ticks, **options).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    made = build(spark.readStream.schema(schema).parquet(either), **options)
+    folder = shared_dir(spark)
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/bars")
+
+    query = made.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name).withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
+    found = spark.createDataFrame([], made.schema) if query.lastProgress is None else spark.read.schema(made.schema).parquet(f"{folder}/bars")
+    return found.withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
