@@ -189,9 +189,14 @@ def test_experiment(spark, bars, tmp_path):
     df = bars({"A": [100.0 * 1.01**i * (1 + 0.02 * (i % 3)) for i in range(30)]})
     weights = df.select("symbol", "timestamp", F.lit(1.0).alias("weight"))
     book = ledgers.Ledger(tmp_path / "runs.jsonl")
-    got = reports.run_experiment(df, weights, out_dir=str(tmp_path / "r"), as_of="2024-01-31", ledger=book)
+    got = reports.run_experiment(df, weights, out_dir=str(tmp_path / "r"), as_of="2024-01-31", weight_source="test", symbols=["A"], horizon=2, ledger=book, dataset_id="ds-1")
+    assert spark.read.parquet(got["equity_curve"]["path"]).count() == got["equity_curve"]["rows"] == got["headline_metrics"]["n_periods"] == 28
+    assert got["config"]["horizon"] == 2 and book.entries()[0]["dataset_id"] == "ds-1" and book.entries()[0]["as_of"] == "2024-01-31"
+    for broken in ({"weight_source": " "}, {"weight_source": "w", "symbols": ["B"]}):
+        with pytest.raises(PanelError):
+            reports.run_experiment(df, weights, out_dir=str(tmp_path / "q"), as_of="2024-01-31", **broken)
     assert got["report_health"] in ("SUSPECT", "ENGINE_SUSPECT") and got["data_declaration_status"] == "MISSING"
-    assert book.entries()[0]["metrics"]["battery.random_near_zero"] in (0.0, 1.0) and len(list((tmp_path / "r").iterdir())) == 2
+    assert book.entries()[0]["metrics"]["battery.random_near_zero"] in (0.0, 1.0) and len(list((tmp_path / "r").iterdir())) == 3
     with pytest.raises(PanelError):
         reports.check_report(got | {"config_hash": None})
     assert reports.battery_summary(None)["verdicts"]["random_signal"] == "UNKNOWN"

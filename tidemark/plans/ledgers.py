@@ -122,6 +122,25 @@ class LineageLedger(Ledger):
         entry = dict(check_lineage(lineage_record(manifest, report, **options)))
         return self.append(entry | {"created_at": entry["created_at_utc"]}, id_field="entry_id")
 
+    def entries(self) -> list[dict]:
+        """Every entry, checked against its fingerprint; an id that occurs twice is an error."""
+        found = [dict(check_lineage(e)) for e in super().entries()]
+        ids = [e["entry_id"] for e in found]
+        if len(set(ids)) < len(ids):
+            raise PanelError(f"lineage ids recorded more than once: {sorted({i for i in ids if ids.count(i) > 1})}")
+        return found
+
+    def export(self, path: str | os.PathLike, **filters: str) -> Path:
+        """The entries whose fields have the given values, in the order recorded, as one JSON list."""
+        unknown = set(filters) - {"dataset_id", "feature_set_id", "verdict"}
+        if unknown:
+            raise PanelError(f"lineage is not filtered by {sorted(unknown)}")
+        chosen = [e for e in self.entries() if all(e.get(k) == v for k, v in filters.items())]
+        target = Path(path)
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(json.dumps(chosen, allow_nan=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
+        return target
+
     def find(self, spark: SparkSession, *, dataset_id: str | None = None, feature_set_id: str | None = None, verdict: str | None = None) -> DataFrame:
         out = self.read(spark, LINEAGE)
         for column, value in (("dataset_id", dataset_id), ("feature_set_id", feature_set_id), ("verdict", verdict)):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import replace
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import with_labels
@@ -25,6 +25,18 @@ def day(n: int) -> dt.datetime:
     return dt.datetime(2024, 1, n)
 
 
+ACTIONS = "permanent_id string, symbol string, action_type string, effective_date timestamp_ntz, ratio double, cash_amount double, adjustment_factor double, available_at timestamp_ntz"
+
+
+def corporate_actions(spark: SparkSession) -> DataFrame:
+    """What happened to the identity: a split under its first ticker and a dividend under its second, each known on its day.
+
+    As the reference of an as-of join they show which factor was known when, without a bar being adjusted.
+    """
+    rows = [(PERMANENT, OLD, "split", day(5), 2.0, None, 0.5, day(5)), (PERMANENT, NEW, "cash_dividend", day(9), None, 0.5, 0.99, day(9))]
+    return spark.createDataFrame(rows, ACTIONS)
+
+
 def clean(spark: SparkSession) -> tuple[Panel, dict]:
     """Ten bars of one identity under two tickers (the change falls on day 7), a split and a dividend on record."""
     rows = [(OLD if d <= 6 else NEW, day(d), 100.0 + d, 1000.0 + d) for d in range(2, 12)]

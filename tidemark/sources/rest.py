@@ -1,16 +1,22 @@
 """A paged bars endpoint as a source: validated requests, an injected transport, and a bounded fetch.
 
 The transport is any object with ``get(url, headers=..., params=...)`` that returns an object with
-``status_code``, ``headers``, ``json()`` and ``text()``; nothing here opens a connection of its own
-unless none is given to ``fetch``.
+``status_code``, ``headers``, ``json()`` and ``text()``. ``HttpTransport`` is one over the standard library; only it
+opens connections, and only when it is given.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+import os
+import socket
+import ssl
+import urllib.error
+import urllib.parse
+import urllib.request
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import BAR_COLUMNS, BARS, SYMBOL, PanelError
-from .bars import as_date, available_symbols, scan, tickers
+from .bars import as_date, scan, tickers
 from .sinks import write_bars
 
 # The payload's schema, accepted options and limits.
@@ -27,6 +33,11 @@ ADJUSTMENTS = ("raw", "split", "dividend", "all")
 FEEDS = {"iex": "iex", "sip-historical": "sip"}
 BODY_LIMIT = 500
 MAX_SYMBOLS, MAX_DAYS, MAX_PAGES = 5, 31, 5
+# What is declared of a fetch, the best of each status, and feeds that cover a part of the market.
+TIERS = {"iex": 0, "sip-historical": 1}
+STATUSES = {"survivorship_bias_status": "partial", "corporate_actions_status": "partial", "pit_status": "best_effort"}
+BEST = {"survivorship_bias_status": "controlled", "corporate_actions_status": "clean", "pit_status": "guaranteed"}
+PARTIAL_FEEDS = {"iex": "the volume of one venue"}
 
 
 class RestError(RuntimeError):
@@ -151,46 +162,119 @@ class FetchResult:
 
 
 def verify(spark: SparkSession, path: str, requested: Sequence[str]) -> tuple[int, list[str], dict]:
-    """Reads what was written; fails unless rows exist, symbols were requested and both counts agree."""
-    back = scan(spark, path)
-    n, found = back.count(), [r[0] for r in available_symbols(back).collect()]  # symbols bounded by the request
-    checks = {"positive row count": n > 0, "symbols subset": set(found) <= set(requested), "query row count": back.where(F.col(SYMBOL).isin(list(requested))).count() == n}
-    failed = [k for k, ok in checks.items() if not ok]
-    if failed:
-        raise RestError(f"verification failed: {', '.join(failed)}")
-    return n, found, checks
-
-
-def controlled_fetch(spark: SparkSession, transport, url: str, out_dir: str, *, symbols: Sequence[str], start, end, feed: str = "iex", max_pages: int = MAX_PAGES, ledger=None, secrets: Sequence[str] = (), **options) -> FetchResult:
-    """A tightly bounded fetch: outputs must be new; what is written is read back, verified and recorded."""
+    """Reads back what was written, in one aggregate; fails unless there are rows and all are of requested symbols."""
+    own = F.col(SYMBOL).isin(list(requested))
+    stray = F.collect_set(F.when(~own, F.col(SYMBOL)))
+    got = scan(spark, path).agg(F.count(F.lit(1)).alias("n"), F.count_if(own).alias("own"), F.array_sort(F.collect_set(F.when(own, F.col(SYMBOL)))).alias("found"), F.size(stray).alias("stray")).first()  # symbols bounded by the request
+    checks = {"rows": got["n"] > 0, "symbols": got["stray"] == 0, "counts": got["own"] == got["n"]}
+    if not all(checks.values()):
+        raise RestError(f"verification failed: {[k for k, ok in checks.items() if not ok]}")
+    return got["n"], got["found"], checks
+
+
+def known_gaps(**declared: str) -> list[str]:
+    """What a declaration leaves open: each status short of the best one, and what the feed does not cover."""
+    open_ends = [f"{field} is {declared[field]}, not {best}" for field, best in BEST.items() if declared[field] != best]
+    return open_ends + ([f"data_feed {declared['data_feed']} covers {PARTIAL_FEEDS[declared['data_feed']]}"] if declared["data_feed"] in PARTIAL_FEEDS else [])
+
+
+def _bounded(request: BarsRequest, max_pages: int) -> None:
+    """What a controlled fetch may ask for."""
+    asked = {"symbols": (len(request.symbols), MAX_SYMBOLS), "calendar days": ((request.end - request.start).days + 1, MAX_DAYS), "pages": (max_pages, MAX_PAGES)}
+    over = [f"{n} {what}, of at most {most}" for what, (n, most) in asked.items() if not 1 <= n <= most]
+    if over:
+        raise PanelError("; ".join(over))
+
+
+def controlled_fetch(spark: SparkSession, transport, url: str, out_dir: str, *, symbols: Sequence[str], start, end, feed: str = "iex", max_pages: int = MAX_PAGES, ledger=None, secrets: Sequence[str] = (), headers: dict | None = None, **options) -> FetchResult:
+    """A tightly bounded fetch: outputs must be new; what is written is read back, verified, declared and recorded."""
     from ..plans.contracts import DataDeclaration
 
     request = BarsRequest(tuple(symbols), start, end, feed=feed, **options)
-    if len(request.symbols) > MAX_SYMBOLS:
-        raise PanelError(f"at most {MAX_SYMBOLS} symbols")
-    if (request.end - request.start).days + 1 > MAX_DAYS:
-        raise PanelError(f"at most {MAX_DAYS} calendar days")
-    if not 1 <= max_pages <= MAX_PAGES:
-        raise PanelError(f"max_pages must lie between 1 and {MAX_PAGES}")
+    _bounded(request, max_pages)
     target, note = f"{out_dir}/historical_bars.parquet", Path(out_dir) / "data_declaration.yaml"
     if Path(target).exists() or note.exists():
         raise PanelError(f"{out_dir} already holds a fetch")
-    bars = read_bars(spark, transport, url, request, secrets=secrets, max_pages=max_pages)
+    bars = read_bars(spark, transport, url, request, secrets=secrets, max_pages=max_pages, headers=headers)
     if bars.isEmpty():
         raise RestError("the fetch returned no bars")
     Path(out_dir).mkdir(parents=True, exist_ok=True)
     write_bars(bars, target)
-    tier = 1 if feed == "sip-historical" else 0
-    gaps = ["delisted symbols are not provided; survivorship bias is not controlled", "corporate actions are best-effort and not point-in-time guaranteed"]
-    gaps += ["the feed covers only a subset of market volume"] if feed == "iex" else []
-    declared = DataDeclaration(f"dq-tier{tier}-{feed}-{request.start}-{request.end}", tier, "requested-symbols", "-".join(request.symbols).lower(), "partial", "partial", "best_effort", feed, (request.start, request.end), tuple(gaps))
-    note.write_text(declared.to_yaml(), encoding="utf-8")
     n, found, checks = verify(spark, target, request.symbols)
+    tier, statuses = TIERS[feed], STATUSES | {"data_feed": feed}
+    names = f"dq-tier{tier}-{feed}-{request.start}-{request.end}", "-".join(request.symbols).lower()
+    declared = DataDeclaration(names[0], tier, "requested-symbols", names[1], **statuses, date_range=(request.start, request.end), known_gaps=tuple(known_gaps(**statuses)))
+    note.write_text(declared.to_yaml(), encoding="utf-8")
     if ledger is not None:
-        ledger.append({"record_type": "fetch", "symbols": found, "start": str(request.start), "end": str(request.end), "feed": feed, "rows_written": n, "path": target, "data_declaration_id": declared.data_declaration_id, "verification_passed": True, "known_gaps": gaps, "status": "success"}, id_field="run_id", secrets=secrets)
+        entry = {"record_type": "fetch", "status": "success", "verification_passed": True, "rows_written": n, "symbols": found, "path": target, "feed": feed, "start": str(request.start), "end": str(request.end)}
+        ledger.append(entry | {"data_declaration_id": declared.data_declaration_id, "known_gaps": list(declared.known_gaps)}, id_field="run_id", secrets=secrets)
     return FetchResult(target, str(note), n, found, checks)
 
 
+@dataclass(frozen=True)
+class BarsAccess:
+    """Where bars are served and the credentials to ask for them, which no text form of it shows."""
+
+    url: str
+    key_id: str = field(repr=False)
+    secret: str = field(repr=False)
+
+    @classmethod
+    def from_env(cls, environ: Mapping[str, str] | None = None) -> BarsAccess:
+        """From BARS_DATA_URL, BARS_KEY_ID and BARS_KEY_SECRET; each is needed."""
+        env = os.environ if environ is None else environ
+        found = {name: env.get(name, "").strip() for name in ("BARS_DATA_URL", "BARS_KEY_ID", "BARS_KEY_SECRET")}
+        missing = [name for name, value in found.items() if not value]
+        if missing:
+            raise PanelError(f"the environment lacks {missing}")
+        return cls(*found.values())
+
+    @property
+    def headers(self) -> dict[str, str]:
+        return {"X-Key-Id": self.key_id, "X-Key-Secret": self.secret, "Accept": "application/json"}
+
+    @property
+    def secrets(self) -> tuple[str, str]:
+        return self.key_id, self.secret
+
+
+class _HttpResponse:
+    def __init__(self, status_code: int, body: bytes, headers):
+        self.status_code, self.body, self.headers = status_code, body, dict(headers or {})
+
+    def json(self):
+        return json.loads(self.body)
+
+    def text(self) -> str:
+        return self.body.decode("utf-8", "replace")
+
+
+class HttpTransport:
+    """GET over the standard library. A status is a response; no response at all is a RestError that says why."""
+
+    def __init__(self, timeout: float = 30.0):
+        self.timeout = timeout
+
+    def get(self, url: str, *, headers: dict, params: dict):
+        asked = urllib.request.Request(f"{url}?{urllib.parse.urlencode(params)}", headers=headers, method="GET")
+        try:
+            with urllib.request.urlopen(asked, timeout=self.timeout) as response:
+                return _HttpResponse(response.status, response.read(), response.headers)
+        except urllib.error.HTTPError as e:
+            return _HttpResponse(e.code, e.read(), e.headers)
+        except OSError as e:  # of which URLError and TimeoutError are kinds
+            raise RestError(f"no response from the bars endpoint: {self.diagnosis(e)}") from e
+
+    @staticmethod
+    def diagnosis(error: BaseException) -> str:
+        """The kind of the underlying fault and what to look at, without any text of the request."""
+        cause = getattr(error, "reason", error)
+        cause = cause if isinstance(cause, BaseException) else error
+        hints = ((TimeoutError, "it took too long"), (socket.gaierror, "the host's name has no address"), (ssl.SSLError, "the certificate was not accepted"), (ConnectionError, "the connection was refused or broken off"))
+        hint = next((text for kind, text in hints if isinstance(cause, kind)), "the network cannot be reached")
+        return f"{type(cause).__name__}, {hint}"
+
+
 class _CannedResponse:
     def __init__(self, payload: dict, status_code: int = 200):
         self.payload, self.status_code, self.headers = payload, status_code, {}
