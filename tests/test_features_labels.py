@@ -78,3 +78,44 @@ def test_label_names_and_inputs(bars):
     for broken in (df.withColumn("label_x", F.lit(1)), df.withColumn("signal", F.lit(1)), df.withColumn("close", F.lit(0.0)), df.withColumn("close", F.lit(float("inf")))):
         with pytest.raises(PanelError):
             labels.with_labels(broken, 1)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 20])
+def test_exponential_means_equal_pandas(spark, day, n):
+    """Over several blocks, with values missing at the start, at a block's end and in between, for two symbols at once."""
+    import random
+
+    import pandas as pd
+
+    r, series = random.Random(n), {}
+    for symbol, length in (("A", 900), ("B", 7)):
+        series[symbol] = [None if r.random() < 0.1 or (i in (0, 399, 400, 38, 39)) else r.uniform(1, 200) for i in range(length)]
+    rows = [(s, day(i), x) for s, values in series.items() for i, x in enumerate(values)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, close double").repartition(5)
+    got = {(x["symbol"], x["timestamp"]): x[f"ema_{n}d"] for x in features.with_ema(df, (n,)).collect()}
+    for s, values in series.items():
+        want = pd.Series(values, dtype=float).ewm(span=n, adjust=True, min_periods=n).mean()
+        for i, (x, w) in enumerate(zip(values, want)):
+            assert got[s, day(i)] == (None if x is None or pd.isna(w) else pytest.approx(w, rel=1e-12))
+
+
+def test_reserved_names(bars):
+    for name in ("target", "weight", "qty", "target_null_reason"):
+        with pytest.raises(PanelError):
+            labels.label_name(1, name)
+    for column in ("side", "quantity", "label", "target_x"):
+        with pytest.raises(PanelError):
+            labels.with_labels(bars({"A": [1.0, 2.0]}).withColumn(column, F.lit(1)), 1)
+
+
+def test_feature_sets_of_a_file(spark, bars, tmp_path):
+    path = str(tmp_path / "bars.parquet")
+    bars({"A": [100.0 + i for i in range(30)], "B": [1.0] * 30}).write.parquet(path)
+    known = features.build_pit_feature_set(spark, path, " a ", as_of="2024-01-25")
+    whole = features.build_feature_set(spark, path, "A")
+    assert known.count() == 25 and whole.count() == 30 and known.select("feature_set_id").distinct().count() == 1
+    key = lambda df: {(r["timestamp"], r["sma_20d"], r["ema_20d"]) for r in df.collect()}
+    assert key(known) <= key(whole)
+    for broken in (lambda: features.build_feature_set(spark, path, "C"), lambda: features.build_feature_set(spark, str(tmp_path / "none"), "A")):
+        with pytest.raises(PanelError):
+            broken()

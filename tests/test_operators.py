@@ -185,3 +185,36 @@ def test_orders_positions_boot(spark):
     for flags in ((False, True), (True, False)):
         with pytest.raises(PanelError):
             signals.check_boot("live", *flags)
+
+
+def test_an_embargo_below_the_horizon_is_refused(bars):
+    df = bars({"A": [1.0] * 20}).select("symbol", "timestamp")
+    for embargo in (0, 2, True, 2.5):
+        with pytest.raises(PanelError):
+            splits.temporal_split(df, max_horizon=3, embargo=embargo)
+    assigned, b = splits.temporal_split(df, max_horizon=3)
+    with pytest.raises(PanelError):
+        splits.assert_split(df, assigned, splits.Boundaries(b.n, b.train_end, b.validation_end, 3, 1))
+
+
+def test_stress_is_on_slippage_alone(bars, tmp_path):
+    path = tmp_path / "costs.yaml"
+    path.write_text("commission_bps: 4\nslippage_bps_daily: 5\nslippage_bps_stress_2x: 11\nslippage_bps_stress_5x: 30\n")
+    assert backtest.CostModel(4, 5).stressed(2) == backtest.CostModel(4, 10)
+    df = bars({"A": [100.0, 101, 99, 104, 103]}).withColumn("weight", F.when(F.col("volume") % 2 == 0, 1.0).otherwise(-1.0))
+    for stress, want in ((None, [9, 14, 29]), (backtest.load_stress(str(path)), [9, 15, 34])):
+        rows = nullmodels.traded(df, seed=1, cost_model=backtest.load_costs(str(path)), stress=stress).groupBy("variant").agg((F.sum("cost") / F.sum("turnover") * 1e4).alias("bps")).collect()
+        got = {r["variant"]: r["bps"] for r in rows}
+        assert [got[v] for v in ("baseline", "cost_stress_2x", "cost_stress_5x")] == pytest.approx(want) and got["random_weights"] == pytest.approx(9)
+    report = nullmodels.run_battery(df, seed=5, cost_model=backtest.CostModel())
+    assert (report.seed, report.metrics["random_weights"]["seed"], report.metrics["shuffled_weights"]["seed"]) == (5, 5, 6)
+
+
+def test_results_hold_no_forbidden_names(bars):
+    from tidemark.plans.dataset import research_dataset
+
+    df = bars({"A": [1.0, 2.0]})
+    for name in ("y", "side", "qty", "quantity", "label", "target"):
+        with pytest.raises(PanelError):
+            research_dataset(df.withColumn(name, F.lit(1)), df.select("symbol", "timestamp", F.lit(1.0).alias("f")), feature_columns=["f"])
+    assert set(backtest.FORBIDDEN) == {"signal", "alpha", "prediction", "target", "order", "trade"}

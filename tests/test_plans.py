@@ -244,3 +244,53 @@ def test_command_line(spark, bars, tmp_path, capsys):
     assert cli.main(["list-feature-sets", "--registry", p("registry.json")]) == 0
     assert cli.main(["run-dry-run", "--out", p("dry")]) == 0
     assert cli.main(["report-targets", "--labels", p("labels.parquet"), "--columns", provenance.LABEL, "--out", p("t")]) == 0
+
+
+def test_null_labels_without_a_reason_are_unspecified(bars):
+    from tidemark.functions.labels import with_labels
+
+    label = "label_forward_return_1d"
+    made = with_labels(bars({"A": [100.0, 110, 120], "B": [1.0, 1, 1]}), 1)
+    known = reports.label_manifest(made, [label])
+    assert known["symbols"] == ["A", "B"] and known["valid_label_count"] == 4 and known["null_breakdown"] == {"insufficient_future_rows": 2}
+    blank = made.withColumn("target_null_reason", F.when(F.col("symbol") == "A", F.col("target_null_reason")))
+    got = reports.label_report(blank, [label], manifest=known | {"symbols": ["A", "C"]}, max_symbols=1, clock=CLOCK)
+    assert got["null_breakdown"]["data"] == {"insufficient_future_rows": 1, "UNSPECIFIED": 1}
+    mismatch = next(w["message"] for w in got["warnings"] if w["code"] == "manifest_data_mismatch")
+    assert "symbols" in mismatch and "null_breakdown" in mismatch and "row_count" not in mismatch
+    first = got["per_symbol"][0]
+    assert first["n_rows"] == 3 and first["distribution_included"] is False and set(first["targets"][label]) == set(reports.COUNTS)
+    assert "UNSPECIFIED" in reports.label_markdown(got)
+
+
+def test_markdown_of_manifest_and_inspection(spark):
+    _, made, report = assembled(spark)
+    text = manifest.manifest_markdown(made)
+    assert made["dataset_id"] in text and "eligible" in text and provenance.FEATURE in text
+    named = manifest.attach_feature_set_id(report, "fs-9")
+    assert "fs-9" in manifest.inspection_markdown(named) and "feature_set_id" not in report
+    for broken in (made | {"schema_version": 2}, made | {"row_count": 99}, made | {"verdict": "SUSPECT"}, made | {"verdict": "?"}):
+        with pytest.raises(PanelError):
+            manifest.manifest_markdown(broken)
+
+
+def test_lineage_export(spark, tmp_path):
+    _, made, report = assembled(spark)
+    book = ledgers.LineageLedger(tmp_path / "lineage.jsonl")
+    one = book.record(made, report, feature_set_id="fs-1", clock=CLOCK)
+    book.record(made, report, feature_set_id="fs-2", clock=CLOCK)
+    assert json.loads(book.export(tmp_path / "out" / "all.json").read_text())[0] == one
+    assert [e["feature_set_id"] for e in json.loads(book.export(tmp_path / "some.json", feature_set_id="fs-2").read_text())] == ["fs-2"]
+    with pytest.raises(PanelError):
+        book.export(tmp_path / "x.json", seed="1")
+    book.path.write_text(book.path.read_text() + book.path.read_text().splitlines()[0] + "\n")
+    with pytest.raises(PanelError):
+        book.export(tmp_path / "x.json")
+
+
+def test_corporate_actions_are_known_in_time(spark):
+    from tidemark.operators import temporal
+
+    panel, _ = provenance.clean(spark)
+    got = temporal.as_of(panel.labels.select("symbol", "timestamp"), provenance.corporate_actions(spark), ["adjustment_factor"]).orderBy("timestamp").collect()
+    assert [r["adjustment_factor"] for r in got] == [None] * 3 + [0.5] * 2 + [None] * 2 + [0.99] * 3

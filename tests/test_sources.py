@@ -125,3 +125,47 @@ def test_saved_pages_source(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps(page()))
     spark.dataSource.register(rest.PagedBarsSource)
     assert spark.read.format("paged_bars").option("path", str(tmp_path)).load().count() == 2
+
+
+def test_http_transport(spark):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            ok = "page_token" not in self.path
+            seen.append((self.path, self.headers["X-Key-Id"]))
+            body = json.dumps({"bars": {"AAA": [{"t": "2024-01-02T05:00:00Z", "o": 1, "h": 2, "l": 1, "c": 2, "v": 5, "n": 1, "vw": 1.5}]}, "next_page_token": "more"} if ok else {"error": "key hidden rejected"}).encode()
+            self.send_response(200 if ok else 403)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    import json
+
+    seen: list = []
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    access = rest.BarsAccess.from_env({"BARS_DATA_URL": f"http://127.0.0.1:{server.server_port}/bars", "BARS_KEY_ID": "kid", "BARS_KEY_SECRET": "hidden"})
+    assert "hidden" not in repr(access) and "kid" not in repr(access)
+    request = rest.BarsRequest(("aaa",), "2024-01-02", "2024-01-03")
+    with pytest.raises(rest.RestError) as e:
+        list(rest.pages(rest.HttpTransport(), access.url, request, headers=access.headers, secrets=access.secrets))
+    server.shutdown()
+    server.server_close()
+    assert "403" in str(e.value) and "hidden" not in str(e.value) and len(seen) == 2 and seen[0][1] == "kid" and "symbols=AAA" in seen[0][0]
+    with pytest.raises(rest.RestError) as e:
+        rest.HttpTransport(timeout=2).get(access.url, headers=access.headers, params={})
+    assert "ConnectionRefusedError" in str(e.value) and "hidden" not in str(e.value)
+    with pytest.raises(PanelError):
+        rest.BarsAccess.from_env({"BARS_KEY_ID": "kid"})
+
+
+def test_gaps_follow_from_what_is_declared():
+    best = dict(rest.BEST)
+    assert rest.known_gaps(**best, data_feed="sip-historical") == []
+    assert len(rest.known_gaps(**rest.STATUSES, data_feed="iex")) == 4
+    with pytest.raises(PanelError):
+        rest.controlled_fetch(None, None, "", "x", symbols=list("ABCDEF"), start="2024-01-01", end="2024-03-01")

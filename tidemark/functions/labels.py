@@ -49,9 +49,14 @@ def with_labels(bars: DataFrame, horizon: int = 1, *, price: str = "close", name
     return bars.withColumns({label: forward_return(horizon, price), REASON: null_reason(horizon, price)})
 
 
+def ledger_violations(labelled: DataFrame, label: str) -> DataFrame:
+    """One row: labels that are null without a reason, or have one without being null."""
+    return labelled.agg(F.count_if(F.col(label).isNull() != F.col(REASON).isNotNull()).alias("violations"))
+
+
 def assert_ledger(labelled: DataFrame, label: str) -> DataFrame:
     """A label is null if and only if a reason is given."""
-    n = labelled.agg(F.count_if(F.col(label).isNull() != F.col(REASON).isNotNull()).alias("n")).first()["n"]
+    n = ledger_violations(labelled, label).first()["violations"]
     if n:
         raise PanelError(f"{n} rows where label and reason disagree")
     return labelled

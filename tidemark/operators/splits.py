@@ -85,8 +85,13 @@ def assert_split(df: DataFrame, assigned: DataFrame, b: Boundaries) -> None:
         raise PanelError(f"invalid split: {got.asDict()}")
 
 
+def split_parts(df: DataFrame, b: Boundaries) -> DataFrame:
+    """A row for each part: its size in times, its first and its last time."""
+    return labelled_positions(df, b).groupBy(SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min(TIMESTAMP).alias("first"), F.max(TIMESTAMP).alias("last"))
+
+
 def split_summary(df: DataFrame, b: Boundaries) -> dict:
-    """Sizes in times, and the first and last time of each part as ISO text."""
-    rows = labelled_positions(df, b).groupBy(SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min(TIMESTAMP).alias("first"), F.max(TIMESTAMP).alias("last")).collect()
+    """The parts, with times as ISO text, and the boundaries."""
+    rows = split_parts(df, b).collect()
     parts = {r[SPLIT]: {"timestamps": r["n"], "first": r["first"].isoformat(), "last": r["last"].isoformat()} for r in rows}
     return {"boundaries": asdict(b), "parts": parts, "purged": parts.get("purged", {}).get("timestamps", 0), "embargoed": parts.get("embargoed", {}).get("timestamps", 0)}

@@ -17,9 +17,13 @@ def _covers(t: Column, start: Column, end: Column) -> Column:
     return (t >= start) & (end.isNull() | (t <= end))
 
 
+def interval_faults(intervals: DataFrame) -> DataFrame:
+    """One row: intervals without a start, and those that end before they start."""
+    return intervals.agg(F.count_if(F.col("valid_from").isNull()).alias("starts"), F.count_if(F.col("valid_to") < F.col("valid_from")).alias("reversed"))
+
+
 def check_intervals(intervals: DataFrame, what: str) -> None:
-    """One job: no null start, no end before its start."""
-    got = intervals.agg(F.count_if(F.col("valid_from").isNull()).alias("starts"), F.count_if(F.col("valid_to") < F.col("valid_from")).alias("reversed")).first()
+    got = interval_faults(intervals).first()
     if got["starts"] or got["reversed"]:
         raise PanelError(f"{what}: {got['starts']} intervals without valid_from, {got['reversed']} that end before they start")
 

@@ -111,7 +111,12 @@ def research_dataset(bars: DataFrame, features: DataFrame, *, feature_columns: S
     return out.orderBy(*KEY)
 
 
+def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: rows, symbols, first and last time, and the nulls of each column."""
+    nulls = (F.count_if(F.col(c).isNull()).alias(f"nulls_{c}") for c in columns)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(SYMBOL).alias("symbols"), F.min(TIMESTAMP).alias("first_timestamp"), F.max(TIMESTAMP).alias("last_timestamp"), *nulls)
+
+
 def dataset_summary(df: DataFrame, columns: Sequence[str]) -> dict:
-    """Rows, symbols, first and last time, and null counts, from one job."""
-    got = df.agg(F.count(F.lit(1)).alias("_n"), F.count_distinct(SYMBOL).alias("_s"), F.min(TIMESTAMP).alias("_a"), F.max(TIMESTAMP).alias("_b"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
-    return {"rows": got["_n"], "symbols": got["_s"], "first_timestamp": got["_a"], "last_timestamp": got["_b"], "nulls": {c: got[c] for c in columns}}
+    got = summary(df, columns).first().asDict()
+    return {k: v for k, v in got.items() if not k.startswith("nulls_")} | {"nulls": {c: got[f"nulls_{c}"] for c in columns}}

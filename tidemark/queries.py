@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from .functions import features, labels
 from .operators import backtest, distribution, nullmodels, signals, splits, temporal
-from .plans import dataset, fingerprints
-from .schema import KEY, SYMBOL, TIMESTAMP, duplicate_keys
+from .plans import dataset, fingerprints, reports
+from .schema import KEY, SYMBOL, TIMESTAMP, duplicate_keys, faults, missing_symbols, shared_symbols
+from .session import shared_dir
 from .sources import bars as source
 from .sources.rest import flatten
+from .sources.sinks import write_bars
 from .streaming import bars as streaming
 
 AS_OF = "1997-06-30"
@@ -69,6 +71,8 @@ FROM labelled l LEFT JOIN bars v USING (symbol, "timestamp") JOIN known k USING
     "axis": """SELECT "timestamp", row_number() OVER (ORDER BY "timestamp") - 1 AS position, count(*) OVER () AS n FROM (SELECT DISTINCT "timestamp" FROM bars)""",
     "edges": """SELECT *, greatest(1, CAST(floor(n * 0.6) AS BIGINT)) AS te, least(greatest(greatest(1, CAST(floor(n * 0.6) AS BIGINT)) + 1, CAST(floor(n * 0.8) AS BIGINT)), n - 1) AS ve FROM axis""",
     "split": f"""SELECT "timestamp", position, CASE WHEN position < te AND position + {HORIZON} >= te THEN 'purged' WHEN position < te AND te - position <= 10 THEN 'embargoed' WHEN position < te THEN 'train' WHEN position < ve THEN 'validation' ELSE 'test' END AS split FROM edges""",
+    "dirty": """SELECT CASE WHEN volume % 97 = 0 THEN '  ' ELSE symbol END AS symbol, "timestamp", CASE day("timestamp") WHEN 13 THEN 'NaN'::DOUBLE WHEN 14 THEN -"close" WHEN 15 THEN NULL ELSE "close" END AS "close",
+CASE dayofyear("timestamp") % 50 WHEN 0 THEN NULL WHEN 1 THEN 'Infinity'::DOUBLE ELSE weight END AS weight FROM weighted""",
     "scored": """SELECT symbol, "timestamp", weight, lead("close") OVER (PARTITION BY symbol ORDER BY "timestamp") / "close" - 1 AS fwd FROM weighted""",
     "draws": f"""SELECT *, md5('{SEED}' || '|' || symbol || '|' || strftime("timestamp", '%Y-%m-%d %H:%M:%S')) AS h1, md5('{SEED + 1}a' || '|' || symbol || '|' || strftime("timestamp", '%Y-%m-%d %H:%M:%S')) AS h2, md5('{SEED + 1}b' || '|' || symbol || '|' || strftime("timestamp", '%Y-%m-%d %H:%M:%S')) AS h3 FROM scored""",
     "randomised": """SELECT symbol, "timestamp", fwd, -1 + 2 * (CAST('0x' || substr(h1, 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE) AS weight FROM draws""",
@@ -505,6 +509,96 @@ def dup_keys(spark, sf_dir):
     return duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query("""SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT 1 FROM dirty GROUP BY symbol, "timestamp" HAVING count(*) > 1)) AS duplicate_keys, count(*) FILTER (symbol IS NULL OR trim(symbol) = '') AS blank_ids,
+count(*) FILTER ("timestamp" IS NULL) AS null_times, count(*) FILTER (isnan("close") OR isinf("close")) AS close_non_finite, count(*) FILTER ("close" <= 0) AS close_at_or_below_zero, count("close") AS close_values,
+count(*) FILTER (isnan(weight) OR isinf(weight)) AS weight_non_finite, count(*) FILTER (weight IS NULL) AS weight_null FROM dirty""")
+def panel_faults(spark, sf_dir):
+    """Bars with every fault that the checks count, put in by rules."""
+    day, year = F.dayofmonth(TIMESTAMP), F.dayofyear(TIMESTAMP) % 50
+    close = F.when(day == 13, float("nan")).when(day == 14, -F.col("close")).when(day != 15, F.col("close"))
+    weight = F.when(year == 1, float("inf")).when(year != 0, F.col("weight"))
+    dirty = weighted(spark, sf_dir).select(F.when(F.col("volume") % 97 == 0, "  ").otherwise(F.col(SYMBOL)).alias(SYMBOL), TIMESTAMP, close.alias("close"), weight.alias("weight"))
+    return faults(dirty, prices=["close"], weights=["weight"])
+
+
+@query("""SELECT count(*) FILTER (valid_from IS NULL) AS starts, count(*) FILTER (valid_to < valid_from) AS reversed FROM (SELECT CASE WHEN symbol NOT LIKE '%1' THEN valid_from + INTERVAL 500 DAY END AS valid_from, valid_to FROM universe)""")
+def interval_faults(spark, sf_dir):
+    late = F.when(~F.col(SYMBOL).endswith("1"), F.col("valid_from") + F.expr("INTERVAL 500 DAY"))
+    return temporal.interval_faults(universe(spark, sf_dir).withColumn("valid_from", late))
+
+
+@query("SELECT symbol FROM universe INTERSECT SELECT symbol FROM identity")
+def symbols_shared(spark, sf_dir):
+    return shared_symbols(universe(spark, sf_dir), identity(spark, sf_dir))
+
+
+@query("SELECT symbol FROM bars EXCEPT SELECT symbol FROM identity")
+def symbols_missing(spark, sf_dir):
+    return missing_symbols(bars(spark, sf_dir), identity(spark, sf_dir))
+
+
+@query("SELECT upper(symbol) AS symbol, \"timestamp\", \"open\", vwap FROM bars WHERE upper(symbol) IN ('BRAND#12', 'BRAND#23')")
+def symbols_requested(spark, sf_dir):
+    own = bars(spark, sf_dir).withColumn(SYMBOL, F.upper(SYMBOL))
+    return source.select_bars(own, symbols=[" brand#12", "Brand#23 ", "BRAND#12", ""], columns=[SYMBOL, TIMESTAMP, "open", "vwap"])
+
+
+@query("SELECT upper(b.symbol) AS symbol, b.\"timestamp\", b.\"close\", round(f.sma_5d, 4) AS sma_5d FROM bars b JOIN featured f USING (symbol, \"timestamp\") WHERE f.sma_5d IS NOT NULL AND b.symbol IN ('Brand#7', 'Brand#19')")
+def research_symbols(spark, sf_dir):
+    own = bars(spark, sf_dir).withColumn(SYMBOL, F.upper(SYMBOL))
+    made = own.select(*KEY, F.round(features.sma(5), 4).alias("sma_5d")).where("sma_5d is not null")
+    return dataset.research_dataset(own, made, feature_columns=["sma_5d"], symbols=["brand#7", "brand#19"], strict=False).select(*KEY, "close", "sma_5d")
+
+
+@query(f"SELECT symbol, \"timestamp\", \"close\", weight FROM weighted WHERE \"timestamp\"::DATE <= DATE '{AS_OF}' AND dayofyear(\"timestamp\") % 2 = 0")
+def weights_join(spark, sf_dir):
+    own = weighted(spark, sf_dir)
+    given = own.where(F.dayofyear(TIMESTAMP) % 2 == 0).select(*KEY, "weight")
+    return reports.weighted_bars(own.drop("weight"), given, as_of=AS_OF, strict=False)
+
+
+@query(f'SELECT count(*) AS rows, count(DISTINCT symbol) AS symbols, min("timestamp") AS first_timestamp, max("timestamp") AS last_timestamp, count(*) - count(bar_volume) AS nulls_bar_volume, count(*) - count({LABEL}) AS nulls_{LABEL}, count(*) - count(ref_close) AS nulls_ref_close FROM eligible')
+def dataset_summary(spark, sf_dir):
+    return dataset.summary(_assembled(spark, sf_dir), ["bar_volume", LABEL, "ref_close"])
+
+
+@query(f'SELECT count(*) FILTER (({LABEL} IS NULL) <> (target_null_reason IS NOT NULL)) AS violations FROM (SELECT {LABEL}, CASE WHEN day("timestamp") <> 3 THEN target_null_reason END AS target_null_reason FROM labelled)')
+def ledger_violations(spark, sf_dir):
+    """Reasons of one day of the month are taken away, so that some nulls have none."""
+    blotted = labelled(spark, sf_dir).withColumn(labels.REASON, F.when(F.dayofmonth(TIMESTAMP) != 3, F.col(labels.REASON)))
+    return labels.ledger_violations(blotted, LABEL)
+
+
+@query('SELECT split, count(*) AS n, min("timestamp") AS "first", max("timestamp") AS "last" FROM split GROUP BY split')
+def split_parts(spark, sf_dir):
+    own = bars(spark, sf_dir).select(*KEY)
+    b = splits.boundaries(own.select(TIMESTAMP).distinct().count(), max_horizon=HORIZON, embargo=10)
+    return splits.split_parts(own, b)
+
+
+@query('SELECT symbol, "timestamp", volume FROM bars ORDER BY volume DESC, symbol, "timestamp" LIMIT 20')
+def top_volume(spark, sf_dir):
+    """A top-k report."""
+    return bars(spark, sf_dir).select(*KEY, "volume").orderBy(F.desc("volume"), *KEY).limit(20)
+
+
+@query('SELECT upper(symbol) AS symbol, "timestamp", "open", high, low, "close", volume, trade_count, vwap FROM bars')
+def bars_written_and_read(spark, sf_dir):
+    """Through the Parquet sink, which writes tickers in upper case, and back."""
+    path = f"{shared_dir(spark)}/bars.parquet"
+    write_bars(bars(spark, sf_dir), path)
+    return source.select_bars(source.scan(spark, path)).withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
+
+
+@query('SELECT symbol, CAST("timestamp" AS DATE) AS day, volume, trade_count FROM bars')
+def bars_from_csv(spark, sf_dir):
+    """Through CSV with inferred types and back."""
+    path = f"{shared_dir(spark)}/bars.csv"
+    bars(spark, sf_dir).select(SYMBOL, F.to_date(TIMESTAMP).alias("day"), "volume", "trade_count").write.option("header", True).csv(path)
+    back = source.read_table(spark, path)
+    return back.select(SYMBOL, F.col("day").cast("date").alias("day"), F.col("volume").cast("long").alias("volume"), F.col("trade_count").cast("long").alias("trade_count"))
+
+
 def _digest_sql(columns: list[tuple[str, str]], rows: str) -> str:
     """The multiset hash in SQL, over rows that hold each column's JSON text."""
     header = fingerprints.canonical([[c, kind] for c, kind in columns])

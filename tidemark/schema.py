@@ -44,7 +44,22 @@ def finite(c: Column) -> Column:
     return ~F.isnan(c) & (F.abs(c) < float("inf"))
 
 
-def check(df: DataFrame, *, what: str = "frame", key: Sequence[str] = KEY, prices: Sequence[str] = (), weights: Sequence[str] = (), allow_empty: bool = False, max_lookahead: Column | None = None) -> int:
+def faults(df: DataFrame, *, key: Sequence[str] = KEY, prices: Sequence[str] = (), weights: Sequence[str] = ()) -> DataFrame:
+    """One row that counts rows, duplicate keys and every broken rule; partial counts meet once, by key."""
+    counts = {
+        "blank_ids": F.count_if(F.col(key[0]).isNull() | (F.trim(key[0]) == "")),
+        "null_times": F.count_if(F.col(key[-1]).isNull()),
+        **{f"{c}_non_finite": F.count_if(~finite(F.col(c).cast("double"))) for c in (*prices, *weights)},
+        **{f"{c}_at_or_below_zero": F.count_if(F.col(c) <= 0) for c in prices},
+        **{f"{c}_values": F.count(c) for c in prices},
+        **{f"{c}_null": F.count_if(F.col(c).isNull()) for c in weights},
+    }
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *(v.alias(f"_{k}") for k, v in counts.items()))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_key.agg(total("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("duplicate_keys"), *(total(f"_{k}").alias(k) for k in counts))
+
+
+def check(df: DataFrame, *, what: str = "frame", key: Sequence[str] = KEY, prices: Sequence[str] = (), weights: Sequence[str] = (), allow_empty: bool = False) -> int:
     """Validate in one job and return the row count.
 
     Symbols must be non-blank strings; keys unique and non-null in the time; prices numeric, with at
@@ -56,29 +71,21 @@ def check(df: DataFrame, *, what: str = "frame", key: Sequence[str] = KEY, price
             raise PanelError(f"{what}: {c} must be numeric")
     if not isinstance(df.schema[key[0]].dataType, T.StringType):
         raise PanelError(f"{what}: {key[0]} must be a string")
-    bad = {
-        "has blank ids": F.count_if(F.col(key[0]).isNull() | (F.trim(key[0]) == "")),
-        "has null times": F.count_if(F.col(key[-1]).isNull()),
-        **{f"has non-finite {c}": F.count_if(~finite(F.col(c).cast("double"))) for c in (*prices, *weights)},
-        **{f"has {c} at or below zero": F.count_if(F.col(c) <= 0) for c in prices},
-        **{f"has null {c}": F.count_if(F.col(c).isNull()) for c in weights},
-        **{f"has no {c}": F.when(F.count(c) == 0, 1).otherwise(0) for c in prices},
-    }
-    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *(v.alias(f"_b{i}") for i, (k, v) in enumerate(bad.items()) if not k.startswith("has no ")), *(F.count(c).alias(f"_c_{c}") for c in prices))
-    sums = [F.sum("_n").alias("rows"), F.count_if(F.col("_n") > 1).alias("dups")]
-    sums += [(F.when(F.sum(f"_c_{k[7:]}") == 0, 1).otherwise(0) if k.startswith("has no ") else F.sum(f"_b{i}")).alias(f"b{i}") for i, k in enumerate(bad)]
-    got = per_key.agg(*sums).first()
-    rows = got["rows"] or 0
-    if not rows:
+    got = faults(df, key=key, prices=prices, weights=weights).first().asDict()
+    if not got["rows"]:
         if allow_empty:
             return 0
         raise PanelError(f"{what} is empty")
-    found = [k for i, k in enumerate(bad) if got[f"b{i}"]]
-    if got["dups"]:
-        found.append(f"has {got['dups']} duplicate keys")
-    if found:
-        raise PanelError(f"{what} " + ", ".join(found))
-    return rows
+    broken = {"has blank ids": got["blank_ids"], "has null times": got["null_times"], f"has {got['duplicate_keys']} duplicate keys": got["duplicate_keys"]}
+    for c in (*prices, *weights):
+        broken[f"has non-finite {c}"] = got[f"{c}_non_finite"]
+    for c in prices:
+        broken |= {f"has {c} at or below zero": got[f"{c}_at_or_below_zero"], f"has no {c}": not got[f"{c}_values"]}
+    for c in weights:
+        broken[f"has null {c}"] = got[f"{c}_null"]
+    if any(broken.values()):
+        raise PanelError(f"{what} " + ", ".join(k for k, n in broken.items() if n))
+    return got["rows"]
 
 
 def duplicate_keys(df: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
@@ -90,5 +97,14 @@ def any_present(columns: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in columns), F.lit(False))
 
 
+def shared_symbols(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.select(SYMBOL).intersect(right.select(SYMBOL))
+
+
+def missing_symbols(wanted: DataFrame, here: DataFrame) -> DataFrame:
+    """Symbols of ``wanted`` that ``here`` lacks."""
+    return wanted.select(SYMBOL).subtract(here.select(SYMBOL))
+
+
 def disjoint_symbols(left: DataFrame, right: DataFrame) -> bool:
-    return left.select(SYMBOL).distinct().join(right.select(SYMBOL).distinct(), SYMBOL).isEmpty()
+    return shared_symbols(left, right).isEmpty()
