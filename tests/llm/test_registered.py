@@ -195,3 +195,17 @@ def test_rans_in_any_number_of_ranges(spark, libraries):
             assert r["start"] == start and len(r["ids"]) == 4 * r["n_tokens"]
             start += r["n_tokens"]
     assert not [t for t in spark.catalog.listTables() if "ids" in t.name or "run" in t.name]
+
+
+def test_op1(spark):
+    """Against a plain reading of these pages: paragraphs and the title within the one article element."""
+    import html
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    got = {r["page_id"]: r for r in run(spark, "op1_html_text")}
+    assert set(got) == set(pages)
+    for k, page in pages.items():
+        body = re.search(r"<article>(.*?)(</article>|$)", re.sub(r"<!--.*?-->", "", page["html"], flags=re.S), re.S)[1]
+        want = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", body)]
+        text = "\n".join(x for x in want if x)
+        assert (got[k]["url"], got[k]["text"], got[k]["n_chars"]) == (page["url"], text, len(text))

@@ -226,3 +226,37 @@ def test_redaction(spark):
     assert pii.redact(docs).columns == docs.columns and len(got) == len(TEXTS)
     assert got[10 + 3 * 17]["text"].startswith("mail [EMAIL], [IP] or 10.0.0.256; [PHONE]; [CARD] and ")
     assert all(got[r["doc_id"]]["text"] == r["text"] for r in docs.collect() if r["doc_id"] != 10 + 3 * 17)
+
+
+def _features_used(tree) -> set:
+    return set() if not isinstance(tree, tuple) else {html_text.FEATURES[tree[0]]} | _features_used(tree[2]) | _features_used(tree[3])
+
+
+def test_the_tree_reads_words_and_links_of_both_neighbours():
+    tree = html_text.train_tree()
+    used = _features_used(tree)
+    assert {"words", "links", "main", "outside", "aside", "named"} <= used and {"prev_words", "prev_links"} & used and {"next_words", "next_links"} & used
+    rows = np.array([line.split() for line in html_text.LABELLED.strip().splitlines()], float)
+    assert (html_text.classify(tree, rows[:, :-1]) == (rows[:, -1] == 1)).all() and set(rows[:, -1]) == {0, 1}
+
+
+def test_names_are_a_weak_hint():
+    tree, long, other = html_text.train_tree(), prose(60, 1), prose(50, 2)
+    friendly = f"<body><div class='post share-friendly'><h1>The title here</h1><p>{long}</p><p>{other}</p></div></body>"
+    assert html_text.main_text(friendly, tree) == f"The title here\n{long}\n{other}"
+    assert html_text.main_text(f"<div class='share-friendly'><p>{long}</p><p>{other}</p></div>", tree) == f"{long}\n{other}"
+    after = f"<body><main><h1>T</h1><p>{long}</p></main><div class='foo'><p>{other}</p><p>{prose(40, 3)}</p></div></body>"
+    assert html_text.main_text(after, tree) == f"T\n{long}"
+    for name in ("comments", "comment-body", "comments-area", "cookie-notice", "related-posts", "newsletter-signup-box", "ad", "sidebar-left", "post-footer", "SocialShare"):
+        assert html_text.main_text(f"<article><p>{long}</p><div class='{name}'><p>{other}</p></div><p>End.</p></article>", tree) == f"{long}\nEnd.", name
+        assert html_text.main_text(f"<div><p>{long}</p><p>{prose(45, 7)}</p></div><div id={name}><p>{other}</p></div>", tree) == f"{long}\n{prose(45, 7)}", name
+    for name in ("entry-content", "no-sidebar", "without-comments", "article-header", "lead", "main-text"):
+        assert html_text.main_text(f"<article><div class='{name}'><p>{long}</p><p>Ok.</p></div></article>", tree) == f"{long}\nOk.", name
+    nested = f"<div class='layout with-sidebar sidebar-left'><article><p>{long}</p><section id='comments'><article><p>{other}</p></article></section></article></div>"
+    assert html_text.main_text(nested, tree) == long
+
+
+def test_html_columns_that_clash(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE, "t", 7)], "page_id long, url string, html string, text string, n_chars long")
+    got = html_text.extract(pages)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.first()["n_chars"] == len(got.first()["text"]) > 7
