@@ -4,10 +4,11 @@
    alone decides. Windows that share a minimizer form a segment. Equal windows lie in segments with
    equal anchors, so an anchor that occurs once rules its whole segment out.
 2. Segments with equal anchors and equal bytes repeat as a whole. They are counted, map-side first; one
-   of them stands for all in the index.
+   of them stands for all in the index. What is frequent is broadcast, at most HOT keys, and never shuffled.
 3. The other segments with shared anchors meet in a run-length index (see ``rlbwt``), groups of an anchor
-   kept together; matching statistics of at least ``length`` mark repeated windows. A group too large
-   for one index is settled by counting the hashes of its windows, which spreads over all tasks.
+   kept together; matching statistics of at least ``length`` mark repeated windows. A group of more distinct
+   bytes than one index takes (``group_bytes``) is settled by counting the hashes of its windows, which spreads
+   over all tasks and gives the same spans.
 
 Hashes decide as 128 bits (anchor and segment, or two window hashes).
 """
@@ -32,6 +33,7 @@ CHUNK = 1 << 20
 INDEX_BYTES = 800_000
 GROUP_BYTES = 4_000_000
 BITMAP_BITS = 1 << 22
+HOT = 4096
 NO_ID = -(2**63)
 
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -168,12 +170,9 @@ def _index_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
 
     def settle(held: list[tuple]) -> pa.RecordBatch:
         index = build([x[5] for x in held])
-        repeated = index.matching_statistics() >= length
-        out = []
-        for x, start in zip(held, index.starts.tolist(), strict=True):
-            if x[4]:
-                marks = np.flatnonzero(np.diff(np.concatenate([[0], repeated[start : start + len(x[5])].astype(np.int8), [0]])))
-                out += [(x[1], x[2], x[3] + a, b - a + length - 1) for a, b in marks.reshape(-1, 2).tolist()]
+        start, end = index.long_matches(length)
+        own = np.searchsorted(index.starts, start, side="right") - 1  # no stretch of matches spans two strings
+        out = [(*held[i][1:3], held[i][3] + a - index.starts[i], b - a + length - 1) for i, a, b in zip(own.tolist(), start.tolist(), end.tolist(), strict=True) if held[i][4]]
         cols = list(zip(*out, strict=True)) or [()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["d", "h", "at", "bytes"])
 
@@ -211,17 +210,32 @@ def _window_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     return windows.where("open").join(common, ["one", "two"]).select("d", "h", "at", F.lit(length).cast("long").alias("bytes"))
 
 
+def _with_counts(rows: DataFrame, found: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` joined with ``found`` (keys, c and more), of which c rows each have the keys.
+
+    The HOT most frequent keys are broadcast, so their rows stay where they are; the others are shuffled. A key that
+    is none of those holds at most a HOTth of the rows.
+    """
+    hot = materialize(found.where(F.col("c") > HOT).orderBy(F.desc("c"), *keys).limit(HOT), name, rows=HOT)
+    cold = found.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Spans (d, h, at, bytes), overlapping, that cover what repeats in ``docs`` (d, h, text)."""
     every = materialize(_all_segments(docs, length, anchor), "segments")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor")
-    shared = materialize(shared, "anchors")  # as a table of its own, so that the join can split hot anchors
-    rows = materialize(every.join(shared, "anchor"), "shared")
+    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = materialize(shared, "anchors")  # as a table of its own, so that the join can split what is left of hot anchors
+    rows = materialize(_with_counts(every, shared, ["anchor"], "hot_anchors").drop("c"), "shared")
     whole = rows.groupBy("anchor", "body").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "h", "at", "bytes")).alias("one"))
     whole = materialize(whole, "bodies")
-    groups = whole.groupBy("anchor").agg(F.sum("one.bytes").alias("size"), F.count_if(F.col("c") == 1).alias("open")).where("open > 0").select("anchor", "size")
-    full = rows.join(whole.where("c > 1").select("anchor", "body"), ["anchor", "body"]).select("d", "h", "at", F.col("bytes").cast("long").alias("bytes"))
-    asked = materialize(whole.join(groups, "anchor").select("one.*", "anchor", (F.col("c") == 1).alias("open"), "size"), "asked")
+    groups = whole.groupBy("anchor").agg(F.sum("one.bytes").alias("size"), F.count_if(F.col("c") == 1).alias("open"), F.count(F.lit(1)).alias("bodies")).where("open > 0").select("anchor", "size", F.col("bodies").alias("c"))
+    groups = materialize(groups, "groups")
+    repeated = whole.where("c > 1").select("anchor", "body", "c")
+    full = _with_counts(rows, repeated, ["anchor", "body"], "hot_bodies").select("d", "h", "at", F.col("bytes").cast("long").alias("bytes"))
+    parts = whole.select("one.*", "anchor", (F.col("c") == 1).alias("open"))
+    asked = materialize(_with_counts(parts, groups, ["anchor"], "hot_groups").drop("c"), "asked")
     spans = full.unionByName(_index_spans(docs, asked.where(F.col("size") <= group_bytes), length))
     large = asked.where(F.col("size") > group_bytes)
     if not large.isEmpty():
@@ -234,8 +248,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Removed is each byte covered by a ``length``-byte string that also starts elsewhere in the table,
     the same text included. A null text counts as empty; texts under ``length`` bytes lose nothing.
-    Repeated rows are repeats of each other and lose all they cover. Null doc_ids are kept. Extra columns are
-    ignored. An empty table gives an empty result.
+    Repeated rows are repeats of each other and lose all they cover. Null doc_ids are kept. Long texts are taken in
+    overlapping slices. Extra columns are ignored. An empty table gives an empty result.
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     spans = materialize(repeated_spans(source, length, **options), "spans")

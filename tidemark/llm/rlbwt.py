@@ -1,9 +1,10 @@
 """A run-length index over a small collection of byte strings, in numpy.
 
-The suffix array is built by prefix doubling over still tied suffixes. Of the Burrows-Wheeler transform
-only the runs are kept, with the suffix array sampled at run heads and tails. Matching statistics are
-streamed from those samples: the longest match of position p with its neighbour in suffix order is known
-at run ends, and falls by one with each step elsewhere.
+The suffix array is built by prefix doubling over still tied suffixes, and dropped. Of the Burrows-Wheeler
+transform only the runs are kept, with the suffix array sampled at run heads and tails and the rows beside them.
+Matching statistics are streamed from those samples: the longest match of position p with its neighbour in suffix
+order is known at run ends, and falls by one with each step elsewhere. So long matches are intervals between samples,
+as many as there are runs, and no array as long as the text is made for them.
 """
 
 from __future__ import annotations
@@ -26,15 +27,37 @@ class RunIndex:
     before: np.ndarray  # text position of the row above each head (-1: none)
     after: np.ndarray  # text position of the row below each tail (-1: none)
 
+    def samples(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For run heads and for run tails: text positions in order, and where the match known there ends."""
+        out = []
+        for at, other in ((self.heads, self.before), (self.tails, self.after)):
+            by = np.argsort(at)
+            out.append((at[by], (at + self._common(at, other))[by]))
+        return out
+
+    def long_matches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in order and apart, of the stretches of positions whose longest match is of ``length`` or more."""
+        starts, ends = [], []
+        for at, end in self.samples():
+            until = np.minimum(np.append(at[1:], len(self.text)), end - length + 1)  # the next sample, or the last place that reaches far enough
+            keep = until > at
+            starts.append(at[keep])
+            ends.append(until[keep])
+        start, end = np.concatenate(starts), np.concatenate(ends)
+        by = np.argsort(start, kind="stable")
+        start, end = start[by], np.maximum.accumulate(end[by])
+        if not len(start):
+            return start, end
+        new = np.concatenate([[True], start[1:] > end[:-1]])
+        return start[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
     def matching_statistics(self) -> np.ndarray:
         """For each text position, the longest string that starts there and somewhere else too, within strings."""
-        n = len(self.text)
-        best = np.zeros(n, np.int64)
-        for at, other in ((self.heads, self.before), (self.tails, self.after)):
-            known = np.full(n, -1, np.int64)
-            known[at] = at + self._common(at, other)
-            last = np.maximum.accumulate(np.where(known >= 0, np.arange(n), -1))
-            np.maximum(best, np.where(last >= 0, known[last] - np.arange(n), 0), out=best)
+        place = np.arange(len(self.text))
+        best = np.zeros(len(place), np.int64)
+        for at, end in self.samples():
+            last = np.searchsorted(at, place, side="right") - 1
+            np.maximum(best, np.where(last >= 0, end[last] - place, 0), out=best)
         return best
 
     def _common(self, a: np.ndarray, b: np.ndarray, step: int = 32) -> np.ndarray:
