@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
-from tidemark.llm import pii
+from pyspark.sql import functions as F
+
+from tidemark.llm import pii, quality
 
 from .common import BYTE, WORD, base_spans, discovered_spans, documents, exact_groups, fingerprint as brute_fingerprint, likeness as brute_likeness, near_components, repeats as brute_repeats
 
@@ -209,3 +211,105 @@ def test_op1(spark):
         want = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:h1|p)>", body)]
         text = "\n".join(x for x in want if x)
         assert (got[k]["url"], got[k]["text"], got[k]["n_chars"]) == (page["url"], text, len(text))
+
+
+def plain_statistics(text: str) -> list[float]:
+    """The document statistics, each by its own plain loop."""
+    import math
+
+    words = (text or "").split()
+    if not words:
+        return [0.0] * len(quality.STATISTICS)
+    data, w = text.encode(), len(words)
+    out = [sum(b in members for b in data) / len(data) for members in quality._BYTE_CLASSES.values()]
+    pairs = list(zip(words, words[1:]))
+    lines = [x for x in text.split("\n") if x.strip()]
+    out += [math.log1p(len(data)), math.log1p(w), sum(len(x) for x in words) / w, max(len(x) for x in words), len(set(words)) / w, max(words.count(x) for x in set(words)) / w]
+    out += [sum(a == b for a, b in pairs) / w, len(set(pairs)) / len(pairs) if pairs else 1.0]
+    out += [sum(f(x) for x in words) / w for f in (lambda x: x[0].isupper(), str.isupper, lambda x: not x[-1].isalnum() and x[-1] not in ".,;:?\"')", lambda x: x[-1] in ".?", lambda x: not any(c.isalpha() for c in x))]
+    return [*out, len(set(lines)) / len(lines), math.log1p(w / len(lines))]
+
+
+def plain_trees(x, y, trees=80, depth=4, bins=64, rate=0.12, l2=1.0, least=2.0):
+    """The same boosting with nested dictionaries, a loop for every split and no histogram: scores of a row."""
+    base = np.log(y.mean() / (1 - y.mean()))
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
+    raw, grown = np.full(len(y), base), []
+
+    def grow(rows, g, h, level):
+        if level == depth or not len(rows):
+            return -rate * g[rows].sum() / (h[rows].sum() + l2)
+        best = (1e-6, None, None)
+        for j in range(x.shape[1]):
+            for e in edges[j]:
+                left = x[rows, j] <= e
+                a, b, c, d = g[rows][left].sum(), h[rows][left].sum(), g[rows][~left].sum(), h[rows][~left].sum()
+                if b >= least and d >= least and (gain := a * a / (b + l2) + c * c / (d + l2) - (a + c) ** 2 / (b + d + l2)) > best[0] + 1e-9:
+                    best = (gain, j, e)
+        if best[1] is None:
+            return grow(rows, g, h, level + 1)
+        left = x[rows, best[1]] <= best[2]
+        return best[1], best[2], grow(rows[left], g, h, level + 1), grow(rows[~left], g, h, level + 1)
+
+    def walk(tree, row):
+        while isinstance(tree, tuple):
+            tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+        return tree
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-raw))
+        tree = grow(np.arange(len(y)), p - y, p * (1 - p), 0)
+        grown.append(tree)
+        raw += [walk(tree, row) for row in x]
+    return lambda row: 1 / (1 + np.exp(-(base + sum(walk(t, row) for t in grown))))
+
+
+def test_boosting_against_plain_loops():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(120, 3)), 2)
+    y = ((x[:, 0] + 0.3 * x[:, 1] ** 2 + rng.normal(size=120) * 0.3) > 0.2).astype(float)
+    model = quality.fit(x, y, trees=6, depth=3, bins=16)
+    slow = plain_trees(x, y, trees=6, depth=3, bins=16)
+    assert np.allclose(model.score(x), [slow(row) for row in x], atol=1e-9)
+
+
+def test_op8(spark):
+    rows, got = texts(spark), {r["doc_id"]: r for r in run(spark, "op8_quality")}
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    held = lambda k: zlib.crc32(str(k).encode()) % 3 == 1
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if not held(r["doc_id"])}
+    found = dict(rows)
+    ids = sorted(k for k in known if k in found)
+    model = quality.fit(np.array([plain_statistics(found[k]) for k in ids]), np.array([float(known[k]) for k in ids]))
+    want = model.score(np.array([plain_statistics(t) for _, t in rows]))
+    assert len(got) == len(rows)
+    for (k, _), w in zip(rows, want):
+        assert got[k]["held_out"] == held(k) and abs(got[k]["score"] - w) < 1e-9 and got[k]["predicted"] == int(w >= 0.5)
+    for t in ("", " \n", "a", "x" * 1000, "One two.\n\nthree THREE three, four!"):
+        assert np.allclose(quality.statistics(t), plain_statistics(t))
+
+
+def test_rows_without_doc_id_and_repeated_rows(spark):
+    """Every operator treats them as its docstring says, beside long texts and columns whose names it uses itself."""
+    from tidemark.llm import bpe, near_dedup, packing, repeats
+
+    some = ["alpha beta gamma delta epsilon zeta", "alpha beta gamma delta epsilon zeta", None, "", "word " * 30000, "p q r s t u v " * 60]
+    docs = documents(spark, some).withColumn("doc_id", F.when(F.col("doc_id") > 13, F.col("doc_id")))
+    docs = docs.unionByName(docs)
+    n = docs.count()
+    ids = lambda df: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in df.collect())
+    want = ids(docs)
+    assert ids(bpe.encode_decode(docs, BYTE)) == want
+    assert ids(repeats.remove_repeats(docs)) == want
+    near = near_dedup.near_duplicates(docs)
+    assert ids(near) == want and all(r["component_id"] is None and r["kept"] for r in near.where("doc_id IS NULL").collect())
+    pieces = packing.pack(docs, WORD)
+    assert ids(pieces.where("piece = 0")) == want and pieces.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+    labels = spark.createDataFrame([(16, 1, 0), (16, 0, 0), (22, 0, 1), (None, 1, 0), (25, None, 0)], "doc_id long, quality int, toxic int")
+    scored = quality.score_documents(docs, labels)
+    by_text = {}
+    for r in scored.join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        by_text.setdefault(r["text"], set()).add(r["score"])
+    assert ids(scored) == want and all(len(v) == 1 for v in by_text.values()) and not scored.where("doc_id IS NULL AND held_out").count()
+    assert pii.redact(docs).count() == n and pii.redact(docs.where("false")).count() == 0
+    assert pii.redact(docs.where("doc_id IS NULL")).columns == docs.columns

@@ -8,6 +8,7 @@ empty and nothing improves. The emptier bins of all shards are then packed toget
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections import defaultdict
 
@@ -80,7 +81,7 @@ class _Search:
             if not self.bins[x]:
                 del self.bins[x], self.fill[x]
 
-    def donor(self, n: int, a: int, tries: int = 8) -> int | None:
+    def donor(self, n: int, a: int, tries: int = 64) -> int | None:
         """An underfull bin, not fuller than a, that holds length n; of the first few, the emptiest."""
         best = None
         for b in self.holders[n]:
@@ -94,7 +95,7 @@ class _Search:
     def longest(self, least: int, most: int):
         """Lengths that some underfull bin holds, from most down to least."""
         left = (self.present & ((1 << (most + 1)) - 1)) >> least
-        for _ in range(4):
+        for _ in range(64):
             if not left:
                 return
             top = left.bit_length() - 1
@@ -118,8 +119,8 @@ class _Search:
                 break
             if b == a or b not in self.bins or self.fill[b] > self.fill[a]:
                 continue
-            theirs = sorted(self.lengths[i] for i in self.bins[b])[:64]
-            for x in own[:16]:
+            theirs = sorted(self.lengths[i] for i in self.bins[b])
+            for x in own:
                 lo, hi = 0, len(theirs) - 1
                 while lo < hi:  # the largest sum of two that fits
                     gain = theirs[lo] + theirs[hi] - x
@@ -135,26 +136,36 @@ class _Search:
         return True
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, passes: int = 6) -> list[list[int]]:
-    """Each step raises the sum of squared fills, so the search ends; ``passes`` bounds its effort."""
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
+    """Passes over the underfull bins, fullest first, until none finds a step or no fewer bins are possible.
+
+    Each step raises the sum of squared fills, so the search ends. The emptiest bins are chosen anew as bins empty.
+    """
     done = [b for b in bins if sum(lengths[i] for i in b) == capacity]
     search = _Search(lengths, [b for b in bins if sum(lengths[i] for i in b) < capacity], capacity)
-    for _ in range(passes):
+    least = -(-sum(search.fill.values()) // capacity)  # underfull and filled from now on
+    changed, filled = True, 0
+    while changed and filled + len(search.bins) > least:
         changed = False
-        emptiest = sorted(search.bins, key=search.fill.__getitem__)[:8]
+        emptiest = _emptiest(search)
         for a in sorted(search.bins, key=lambda b: -search.fill[b]):
             while a in search.bins and search.fill[a] < capacity and search.improve(a, emptiest):
                 changed = True
+                if not all(b in search.bins for b in emptiest):
+                    emptiest = _emptiest(search)
             if a in search.bins and search.fill[a] == capacity:
                 for i in search.bins[a]:
                     search._note(lengths[i], a, -1)
                 done.append(search.bins.pop(a))
                 del search.fill[a]
-        if not changed:
-            break
+                filled += 1
     return done + list(search.bins.values())
 
 
+def _emptiest(search: _Search) -> list[int]:
+    return heapq.nsmallest(64, search.bins, key=search.fill.__getitem__)
+
+
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return local_search(lengths, best_fit(lengths, capacity), capacity)
 
@@ -214,8 +225,8 @@ def pack(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text counts as empty (one piece holding the end id). Null and repeated doc_ids are packed as
-    they come, each row apart. Ties in length are broken by the order of rows. Extra columns are
-    ignored. An empty table gives an empty result.
+    they come, each row apart. Texts longer than a sequence are cut, however long. Ties in length are broken by
+    the order of rows. Extra columns are ignored. An empty table gives an empty result.
     """
     pieces = materialize(cut(docs, vocabulary, id_col=id_col, text_col=text_col, end_id=end_id, capacity=capacity), "pieces")
     whole = pieces.where(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

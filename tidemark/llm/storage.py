@@ -61,21 +61,25 @@ def materialize(df: DataFrame, name: str, *, rows: int | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, *, since: int = 0) -> int:
-    """Delete the scratch paths and tables made after the first ``since``; gives how many there are now.
+def scratch_mark() -> int:
+    """How many scratch paths and tables there are; they are counted in the order in which they were made."""
+    return len(_made)
+
 
-    Results are lazy and read their scratch tables, so only the caller knows when they are done with:
-    ``mark = release(spark, since=sys.maxsize)``, run and write the results, then ``release(spark, since=mark)``.
-    What is left goes when the driver's interpreter ends.
+def release(spark: SparkSession, *, since: int = 0, until: int | None = None) -> None:
+    """Delete the scratch made between two marks.
+
+    Results are lazy and read their scratch tables, so only the caller knows when they are done with: take marks before
+    and after an operator is called, write its result, then release what lies between. What is left goes when the
+    driver's interpreter ends.
     """
-    while len(_made) > since:
-        kind, name = _made.pop()
+    for kind, name in _made[since:until]:
         if kind == "table":
             spark.sql(f"DROP TABLE IF EXISTS {name}")
         else:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(_made)
+    del _made[since:until]
 
 
 def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
