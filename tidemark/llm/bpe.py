@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from array import array
 from functools import cached_property
@@ -138,6 +139,10 @@ class ForcedBoundaryBPE(_Library):
         first, second = np.arange(65536) >> 8, np.arange(65536) & 255
         letters = np.isin(first, list(LETTERS)) & np.isin(second, list(LETTERS))
         self.cut = self.forced & (np.isin(second, list(WHITE)) | letters)
+        # Special tokens part a text as the library parts it, unless they take in white space or stand apart as words.
+        plain = not any(t.get(flag) for t in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word", "normalized"))
+        self._special_bytes = {k.encode(): i for k, i in self.special.items()} if plain else {}
+        self._parts = re.compile("|".join(re.escape(k) for k in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self._ranks = None
         if _ordered(spec["model"]["merges"], spec["model"]["vocab"], 256):
             ranks = {b: i for i, b in enumerate(self.token_bytes) if b and i not in self.special.values()}
@@ -149,6 +154,8 @@ class ForcedBoundaryBPE(_Library):
 
     def _fragment(self, x: bytes) -> list[int]:
         """Ids of one fragment; a word with or without a leading space, or a last mark, needs no pattern."""
+        if x in self._special_bytes:
+            return [self._special_bytes[x]]
         core = x[1:] if x[:1] == b" " else x
         if core.isalpha():
             return self._ranks._core_bpe.encode_single_piece(x)
@@ -172,8 +179,20 @@ class ForcedBoundaryBPE(_Library):
         cuts = (np.flatnonzero(self.cut[pairs]) + 1).tolist()
         return [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)], strict=True)]
 
+    def _around_special(self, text: str) -> list[bytes]:
+        """Fragments of what lies between special tokens, and these."""
+        if not any(k in text for k in self.special):
+            return self.fragments(text)
+        out, at = [], 0
+        for m in self._parts.finditer(text):
+            out += [*self.fragments(text[at : m.start()]), m[0].encode()]
+            at = m.end()
+        return out + self.fragments(text[at:])
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Special tokens in a text are recognised as the library does by default."""
+        if self._special_bytes and self._ranks is not None:
+            return self._fragments.encode_batch(texts, (), self._around_special, self._whole)
         return self._fragments.encode_batch(texts, self.special, self.fragments, self._whole)
 
     def _whole(self, text: str) -> list[int]:
@@ -251,7 +270,9 @@ def encode_decode(docs, path: str, *, id_col: str = "doc_id", text_col: str = "t
     """Per row: doc_id, n_tokens, ids (binary, little-endian unsigned 32 bits), decoded.
 
     A null or empty text has no ids and decodes to the empty text. Rows are independent: repeated and
-    null doc_ids are kept as they are; extra columns are ignored; an empty table gives an empty result.
+    null doc_ids are kept as they are, and equal texts have equal ids. Special tokens in a text are ids of their own,
+    as in the library. Texts are taken whole, however long, some at a time; extra columns are ignored; an empty
+    table gives an empty result.
     """
     import pyarrow as pa
     from pyspark.sql import functions as F

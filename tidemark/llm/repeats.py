@@ -29,7 +29,7 @@ from .storage import materialize, partitions
 
 LENGTH = 200
 ANCHOR = 64
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 INDEX_BYTES = 800_000
 GROUP_BYTES = 4_000_000
 BITMAP_BITS = 1 << 22
