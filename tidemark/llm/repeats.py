@@ -30,7 +30,7 @@ from .storage import materialize, partitions
 LENGTH = 200
 ANCHOR = 64
 CHUNK = 1 << 19
-INDEX_BYTES = 800_000
+INDEX_BYTES = 400_000
 GROUP_BYTES = 4_000_000
 BITMAP_BITS = 1 << 22
 HOT = 4096
@@ -156,9 +156,8 @@ def _index_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for i, t in enumerate(texts):
-                raw = t.encode()
+            for i in range(batch.num_rows):  # one text at a time
+                raw = batch.column(2)[i].as_py().encode()
                 at, n, key, is_open = (batch.column(c)[i].as_py() for c in range(3, 7))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(at), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(is_open, pa.bool_()), pa.array([raw[a : a + b] for a, b in zip(at, n, strict=True)], pa.binary())],
