@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .bpe import encode_decode
 from .exact_dedup import exact_dedup
 from .fingerprint import fingerprints
@@ -77,17 +78,5 @@ def queries() -> dict:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
-_EXACT = r"""
-WITH d AS (
-  SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
-  FROM documents
-), k AS (
-  SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id ASC NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
-  FROM d
-)
-SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM k
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _EXACT}
+    return {"op2_exact_dedup": oracles.EXACT, "op6_pii": oracles.PII, "op7_repeats": oracles.REPEATS, "op10_near_dedup": oracles.NEAR}
