@@ -550,10 +550,11 @@ def research_symbols(spark, sf_dir):
     return dataset.research_dataset(own, made, feature_columns=["sma_5d"], symbols=["brand#7", "brand#19"], strict=False).select(*KEY, "close", "sma_5d")
 
 
-@query(f"SELECT symbol, \"timestamp\", \"close\", weight FROM weighted WHERE \"timestamp\"::DATE <= DATE '{AS_OF}' AND dayofyear(\"timestamp\") % 2 = 0")
+@query(f"SELECT symbol, \"timestamp\", \"close\", weight FROM weighted WHERE \"timestamp\"::DATE <= DATE '{AS_OF}' AND weight <> 0")
 def weights_join(spark, sf_dir):
+    """The table of weights lists what is held; bars that are not have no row there."""
     own = weighted(spark, sf_dir)
-    given = own.where(F.dayofyear(TIMESTAMP) % 2 == 0).select(*KEY, "weight")
+    given = own.where("weight <> 0").select(*KEY, "weight")
     return reports.weighted_bars(own.drop("weight"), given, as_of=AS_OF, strict=False)
 
 
@@ -590,13 +591,13 @@ def bars_written_and_read(spark, sf_dir):
     return source.select_bars(source.scan(spark, path)).withColumn(TIMESTAMP, F.col(TIMESTAMP).cast("timestamp_ntz"))
 
 
-@query('SELECT symbol, CAST("timestamp" AS DATE) AS day, volume, trade_count FROM bars')
+@query('SELECT symbol, date_trunc(\'day\', "timestamp")::TIMESTAMP AS day, volume, trade_count FROM bars')
 def bars_from_csv(spark, sf_dir):
     """Through CSV with inferred types and back."""
     path = f"{shared_dir(spark)}/bars.csv"
     bars(spark, sf_dir).select(SYMBOL, F.to_date(TIMESTAMP).alias("day"), "volume", "trade_count").write.option("header", True).csv(path)
     back = source.read_table(spark, path)
-    return back.select(SYMBOL, F.col("day").cast("date").alias("day"), F.col("volume").cast("long").alias("volume"), F.col("trade_count").cast("long").alias("trade_count"))
+    return back.select(SYMBOL, F.col("day").cast("timestamp_ntz").alias("day"), F.col("volume").cast("long").alias("volume"), F.col("trade_count").cast("long").alias("trade_count"))
 
 
 def _digest_sql(columns: list[tuple[str, str]], rows: str) -> str:
