@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import worker
 from .components import components, relabel
 from .shingles import PARITY_WORDS, TensorHasher, digest, parity, shingle_set
-from .storage import bucketed, materialize, partitions
+from .storage import bucketed, buckets, materialize, partitions
 
 GROUPS, ROWS = 12, 3
 PERCENT = 85
@@ -85,7 +85,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["g", "hashes"])
 
     found = docs.select("text", spot.alias("spot")).mapInArrow(run, "g binary, hashes binary")
-    n = partitions(docs.sparkSession)
+    n = buckets(docs.sparkSession)
     found = found.join(wanted.select("g", "node"), "g").select("node", "hashes").repartition(n, "node").dropDuplicates(["node"])
     return bucketed(found, "shingle_sets", "node", n)
 

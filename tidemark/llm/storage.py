@@ -94,5 +94,10 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
     return spark.table(table)
 
 
+def buckets(spark: SparkSession) -> int:
+    """As many buckets as partitions, but no more than Spark allows a table."""
+    return min(partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
