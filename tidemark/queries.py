@@ -15,7 +15,7 @@ from .functions import features, labels
 from .operators import backtest, distribution, nullmodels, signals, splits, temporal
 from .plans import dataset, fingerprints, reports
 from .schema import KEY, SYMBOL, TIMESTAMP, duplicate_keys, faults, missing_symbols, shared_symbols
-from .session import shared_dir
+from .session import saved, shared_dir
 from .sources import bars as source
 from .sources.rest import flatten
 from .sources.sinks import write_bars
@@ -163,9 +163,9 @@ def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.unionByName(named.selectExpr("concat('ID-', a, b, '-B') AS permanent_id", "symbol", "timestamp_ntz'1998-07-01' AS valid_from", "CAST(NULL AS timestamp_ntz) AS valid_to"))
 
 
-def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reference(own: DataFrame) -> DataFrame:
     month = F.date_trunc("month", TIMESTAMP).cast("timestamp_ntz")
-    monthly = bars(spark, sf_dir).groupBy(SYMBOL, month.alias("m")).agg(F.max("close").alias("top"))
+    monthly = own.groupBy(SYMBOL, month.alias("m")).agg(F.max("close").alias("top"))
     return monthly.select(SYMBOL, (F.col("m") + F.expr("INTERVAL 40 DAY")).alias("available_at"), F.when(F.month("m") % 3 != 0, F.col("top")).alias("ref_close"))
 
 
@@ -325,17 +325,19 @@ def identity_resolution(spark, sf_dir):
 
 @query("SELECT * FROM known")
 def asof_reference(spark, sf_dir):
-    return temporal.as_of(bars(spark, sf_dir).select(*KEY), reference(spark, sf_dir), ["ref_close"], strict=False)
+    own = saved(bars(spark, sf_dir).select(*KEY, "close"))
+    return temporal.as_of(own.select(*KEY), reference(own), ["ref_close"], strict=False)
 
 
 @query("SELECT count(ref_close) AS matched, count(*) - count(ref_close) AS unmatched FROM known")
 def asof_coverage(spark, sf_dir):
-    joined = temporal.as_of(bars(spark, sf_dir).select(*KEY), reference(spark, sf_dir), ["ref_close"], strict=False)
+    joined = asof_reference(spark, sf_dir)
     return joined.agg(F.count("ref_close").alias("matched"), F.count_if(F.col("ref_close").isNull()).alias("unmatched"))
 
 
 def _assembled(spark, sf_dir) -> DataFrame:
-    own = bars(spark, sf_dir)
+    """The panel's inputs are bars as a table: line items are read once, not once an input."""
+    own = saved(bars(spark, sf_dir))
     panel = dataset.Panel(
         labels=labels.with_labels(own.select(*KEY, "close"), HORIZON, strict=False),
         label_columns=[LABEL],
@@ -343,7 +345,7 @@ def _assembled(spark, sf_dir) -> DataFrame:
         feature_columns=["bar_volume"],
         universe=universe(spark, sf_dir),
         identity=identity(spark, sf_dir),
-        reference=reference(spark, sf_dir),
+        reference=reference(own),
         reference_columns=["ref_close"],
     )
     return dataset.assemble_rows(panel, strict=False)
@@ -427,7 +429,7 @@ def random_weights(spark, sf_dir):
 
 @query('SELECT symbol, "timestamp", weight FROM shuffled')
 def shuffled_weights(spark, sf_dir):
-    return nullmodels.shuffled_weights(_scored(spark, sf_dir), SEED + 1).select(*KEY, "weight")
+    return nullmodels.shuffled_weights(saved(_scored(spark, sf_dir)), SEED + 1).select(*KEY, "weight")
 
 
 @query('SELECT symbol, "timestamp", weight FROM shifted')
@@ -442,7 +444,7 @@ def leak_weights(spark, sf_dir):
 
 @query("SELECT variant, round(sharpe, 6) AS sharpe, round(annual_turnover, 4) AS annual_turnover, n_periods FROM measured")
 def null_battery(spark, sf_dir):
-    found = nullmodels.battery_metrics(weighted(spark, sf_dir), seed=SEED, cost_model=COST)
+    found = nullmodels.battery_metrics(saved(weighted(spark, sf_dir).select(*KEY, "close", "weight")), seed=SEED, cost_model=COST)
     return found.select("variant", F.round("sharpe", 6).alias("sharpe"), F.round("annual_turnover", 4).alias("annual_turnover"), "n_periods")
 
 

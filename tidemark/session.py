@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -12,19 +17,40 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_scratch: list[str] = []  # folders of this driver
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share; on a local master without the setting, one of its own."""
-    import tempfile
-    import uuid
+    """A new folder that the driver and all executors share; on a local master without the setting, one of its own.
 
+    It is scratch: results read it lazily, so it goes when the driver's interpreter ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base, True)
+    if not _scratch:
+        atexit.register(_remove_scratch)
+    _scratch.append(f"{base.rstrip('/')}/{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def _remove_scratch() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for name in _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back, for plans that would compute it several times."""
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
