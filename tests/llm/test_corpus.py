@@ -1,6 +1,8 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,31 @@ def test_repeats_edges(spark):
     assert len(twice) == 2 * len(TEXTS) and all(x["n_removed"] == x["n_bytes"] for x in twice if x["n_bytes"] >= 200)
 
 
+def test_repeats_need_little_memory():
+    """A worker's memory counts with its executor's: what the arrays of segments and of an index take at most."""
+    texts = [prose(400, i // 3).encode() for i in range(600)]
+    list(repeats._slices(texts, 200))
+    repeats._scaled()
+    tracemalloc.start()
+    try:
+        found = 0
+        for group in repeats._slices(texts, 200):
+            data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
+            size = np.array([len(x[2]) for x in group])
+            found += len(repeats.segments(data, np.cumsum(size) - size, 200, 64)[0])
+        most = tracemalloc.get_traced_memory()[1]
+        assert found and most < 16e6
+        strings = [t[k : k + 230] for t in texts[:300] for k in range(0, 1000, 57)]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        index = rlbwt.build(strings)
+        start, end = index.long_matches(200)
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert len(start) and most < 64 * len(index.text)
+
+
 def test_long_texts_are_cut_into_overlapping_slices(spark, monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 1000)
     docs = documents(spark, [prose(900, 1), prose(900, 1)[700:3000], prose(500, 4)])

@@ -29,7 +29,7 @@ from .storage import materialize, partitions
 
 LENGTH = 200
 ANCHOR = 64
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 INDEX_BYTES = 400_000
 GROUP_BYTES = 4_000_000
 BITMAP_BITS = 1 << 22
@@ -126,6 +126,7 @@ def _all_segments(docs: DataFrame, length: int, anchor: int) -> DataFrame:
                     if len(string):
                         doc, off = np.array([x[0] for x in group])[string] + lo, np.array([x[1] for x in group])[string]
                         yield pa.RecordBatch.from_arrays([pa.array(d[doc]), pa.array(h[doc]), pa.array(start + off), pa.array(n.astype(np.int32)), pa.array(key), pa.array(body)], names=names)
+        worker.trim()
 
     return docs.select("d", "h", "text").mapInArrow(run, "d long, h long, at long, bytes int, anchor long, body long")
 
@@ -163,6 +164,7 @@ def _index_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                     [pa.array(key, pa.int64()), pa.array([batch.column(0)[i].as_py()] * len(at), pa.int64()), pa.array([batch.column(1)[i].as_py()] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(is_open, pa.bool_()), pa.array([raw[a : a + b] for a, b in zip(at, n, strict=True)], pa.binary())],
                     names=["anchor", "d", "h", "at", "open", "body"],
                 )
+        worker.trim()
 
     cuts = _with_text(docs, rows, ["at", "bytes", "anchor", "open"]).mapInArrow(cut, "anchor long, d long, h long, at long, open boolean, body binary")
     grouped = cuts.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
@@ -186,6 +188,8 @@ def _index_spans(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
                 size += len(row[5])
         if held:
             yield settle(held)
+        del held
+        worker.trim()
 
     return grouped.mapInArrow(run, "d long, h long, at long, bytes long")
 
@@ -275,6 +279,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     out.append((d, len(raw), len(raw) - len(keep), len(begin), keep))
                 kinds = [pa.int64()] * 4 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["d", "n_bytes", "n_removed", "n_spans", "kept"])
+        worker.trim()
 
     changed = touched.mapInArrow(run, "d long, n_bytes long, n_removed long, n_spans long, kept binary")
     zero = F.lit(0).cast("long")

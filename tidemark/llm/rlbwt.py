@@ -4,7 +4,8 @@ The suffix array is built by prefix doubling over still tied suffixes, and dropp
 transform only the runs are kept, with the suffix array sampled at run heads and tails and the rows beside them.
 Matching statistics are streamed from those samples: the longest match of position p with its neighbour in suffix
 order is known at run ends, and falls by one with each step elsewhere. So long matches are intervals between samples,
-as many as there are runs, and no array as long as the text is made for them.
+as many as there are runs, and no array as long as the text is made for them. What is as long as the text while the
+index is built is narrow and dropped early: a worker's memory counts with its executor's.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 _FIRST = 7
+_BLOCK = 8192
 
 
 @dataclass
@@ -68,8 +70,8 @@ class RunIndex:
         offsets = np.arange(step)
         while len(todo):
             nxt = []
-            for lo in range(0, len(todo), 65536):
-                part = todo[lo : lo + 65536]
+            for lo in range(0, len(todo), _BLOCK):
+                part = todo[lo : lo + _BLOCK]
                 x, y = padded[(a[part] + at)[:, None] + offsets], padded[(b[part] + at)[:, None] + offsets]
                 differ = (x != y) | (x == 0)
                 hit = differ.any(axis=1)
@@ -82,36 +84,55 @@ class RunIndex:
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Suffix order of 0-terminated strings of symbols 1 to 256; each terminator counts as a symbol of its own, in text order."""
     n = len(text)
+    wide = np.int32 if n < 2**31 - 1 else np.int64  # of places and ranks
     ends = np.flatnonzero(text == 0)
-    left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)  # symbols before the terminator
-    padded = np.concatenate([text, np.zeros(_FIRST, text.dtype)]).astype(np.int64)
+    left = np.full(n, _FIRST, np.uint8)  # symbols before the terminator, as far as the first key sees
+    for i in range(_FIRST):
+        own = ends - i
+        left[own[own > np.append(-1, ends[:-1])]] = i
+    padded = np.concatenate([text, np.zeros(_FIRST, text.dtype)])
     key = np.zeros(n, np.int64)
     for i in range(_FIRST):
-        key = key << 9 | np.where(left > i, padded[i : i + n], 0)
-    order = np.argsort(key)
+        key <<= 9
+        key |= padded[i : i + n] * (left > i)
+    del padded
+    order = np.argsort(key).astype(wide)
     ended = left[order] < _FIRST  # equal keys are then equal strings: their order, by position, is final
-    ids = order[ended]
-    order[ended] = ids[np.lexsort((ids, key[ids]))]
+    del left
     key = key[order]
+    at = np.flatnonzero(ended)
+    order[at] = order[at][np.lexsort((order[at], key[at]))]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | ended[1:] | ended[:-1]])
-    first = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.empty(n + 1, np.int64)
-    rank[order], rank[n] = first, -1
+    del key, ended, at
+    rank = np.empty(n + 1, wide)
+    rank[order], rank[n] = _first(fresh, wide), -1
     width = _FIRST
-    tied = np.flatnonzero(~(fresh & np.concatenate([fresh[1:], [True]])))
+    tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True))).astype(wide)
     while len(tied):
         ids = order[tied]
-        both = rank[ids] * (n + 2) + rank[np.minimum(ids + width, n)] + 1
+        both = rank[ids].astype(np.int64)
+        both *= n + 2
+        both += rank[np.minimum(ids, max(n - width, 0)) + min(width, n)]
+        both += 1
         by = np.argsort(both)
         ids, both = ids[by], both[by]
+        del by
         order[tied] = ids
         fresh = np.concatenate([[True], both[1:] != both[:-1]])
-        rank[ids] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))]
-        tied = tied[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        del both
+        rank[ids] = tied[_first(fresh, wide)]
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
         width *= 2
     return order
 
 
+def _first(fresh: np.ndarray, wide: type) -> np.ndarray:
+    """For each place, the last fresh one up to it."""
+    place = np.arange(len(fresh), dtype=wide)
+    place *= fresh
+    return np.maximum.accumulate(place, out=place)
+
+
 def build(strings: list[bytes]) -> RunIndex:
     lengths = np.array([len(s) + 1 for s in strings])
     starts = np.cumsum(lengths) - lengths
@@ -121,7 +142,7 @@ def build(strings: list[bytes]) -> RunIndex:
     text += 1
     text[starts + lengths - 1] = 0
     order = suffix_array(text)
-    last = text[order - 1].astype(np.int64)
+    last = text[order - 1].astype(order.dtype)
     last[last == 0] = -order[last == 0] - 1  # terminators differ from each other
     new = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
     end = np.concatenate([new[1:], [len(order)]]) - 1

@@ -26,6 +26,11 @@ def claim(owner: str) -> None:
     for clear in _caches:
         clear()
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that is free in this worker back to the system; called as a task ends, since the worker stays."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
