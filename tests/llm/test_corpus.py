@@ -77,6 +77,28 @@ def test_near_rounds_and_rest_agree(spark, monkeypatch):
         assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_near_writes_links_to_few_files(spark, monkeypatch):
+    """All partitions compare sets, but the links go to as few files as they need, and none is lost."""
+    from tidemark.llm import storage
+
+    texts = [t for i in range(12) for t in (prose(100, 200 + i), prose(100, 200 + i) + " more")]
+    docs = documents(spark, texts)
+    want = {k: v[1] for k, v in near_components(pairs(docs)).items()}
+    files, makers = [], []
+
+    def seen(df, name, **options):
+        made = storage.materialize(df.withColumn("maker", F.spark_partition_id()) if name == "confirmed" else df, name, **options)
+        if name != "confirmed":
+            return made
+        files.append(len(made.inputFiles()))
+        makers.append(made.select("maker").distinct().count())
+        return made.drop("maker")
+
+    monkeypatch.setattr(near_dedup, "materialize", seen)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == want
+    assert len(set(want.values())) == 12 and max(makers) > 1 and set(files) == {1}
+
+
 def test_parity_never_exceeds_the_difference():
     import numpy as np
 

@@ -94,11 +94,12 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` (u, v, salt) whose full sets are similar enough.
+def _confirm(pairs: DataFrame, sets: DataFrame, percent: int, count: int) -> DataFrame:
+    """The (u, v) of ``pairs`` (u, v, salt), ``count`` at most, whose full sets are similar enough.
 
     Members stream past their leader's set: one partition holds whole (leader, salt) groups in order,
-    leader first, and a task keeps one set at a time. Salts split hot leaders.
+    leader first, and a task keeps one set at a time. Salts split hot leaders. All partitions compare; the
+    links, two numbers each, are written to as few files as they need.
     """
     members = pairs.join(sets.withColumnRenamed("node", "v"), "v").select("u", "salt", "v", "hashes")
     leaders = pairs.select("u", "salt").distinct().join(sets.withColumnRenamed("node", "u"), "u").select("u", "salt", F.lit(None).cast("long").alias("v"), "hashes")
@@ -124,7 +125,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    return materialize(flow.mapInArrow(run, "u long, v long"), "confirmed")
+    return materialize(flow.mapInArrow(run, "u long, v long"), "confirmed", rows=count, apart=True)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, groups: int = GROUPS, rows: int = ROWS) -> DataFrame:
@@ -176,7 +177,7 @@ def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, perc
     The first leaders are the members with the most such tables: what others were copied from shares the most.
     """
     live = live.withColumn("root", F.col("node"))
-    labels, facts, sets, turn = None, None, None, 0
+    labels, facts, sets, many, turn = None, None, None, 0, 0
 
     def merged(links: DataFrame, found: int) -> None:
         """Contract the components that ``links`` join."""
@@ -198,24 +199,24 @@ def _merge(source: DataFrame, nodes: DataFrame, live: DataFrame, rows: int, perc
             return labels
         if facts is None:
             wanted = materialize(nodes.join(live.select("node").distinct(), "node", "left_semi").select("node", "g", "d", "n", *WORDS), "wanted", rows=rows)
-            facts, sets = wanted.select("node", "n", *WORDS), _full_sets(source, wanted.select("node", "g", "d"))
+            facts, sets, many = wanted.select("node", "n", *WORDS), _full_sets(source, wanted.select("node", "g", "d")), wanted.count()
         offers = live.where("root <> lead.top").select(F.col("lead.u").alias("u"), F.col("node").alias("v"), F.col("lead.r").alias("r"), "size").groupBy("u", "v", "r").agg(F.max("size").alias("size"))
         chosen = _plausible(offers, facts, percent).groupBy("v").agg(F.min_by(F.struct("u", "size"), "r").alias("to"))
         chosen = chosen.select("to.u", "v", F.pmod(F.xxhash64("v"), F.ceil(F.col("to.size") / SALT_EDGES)).cast("int").alias("salt"))
-        links = _confirm(materialize(chosen, "chosen", rows=rows), sets, percent)
+        links = _confirm(materialize(chosen, "chosen", rows=rows), sets, percent, many)  # one pair a node at most
         found = links.count()
         live = live.select("node", "key", "root")
         if found:
             merged(links, found)
         turn += 1
-        if found <= LAST_ROUND * facts.count():
+        if found <= LAST_ROUND * many:
             break
     ends = live.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = live.join(materialize(ends, "spanning", rows=rows), "key").select("node", "root").distinct()
     rest = _by_prefix(materialize(left, "left", rows=rows), facts, sets, percent)
     count = rest.count()
     if count:
-        links = _confirm(rest, sets, percent)
+        links = _confirm(rest, sets, percent, count)
         if found := links.count():
             merged(links, found)
     return labels

@@ -47,16 +47,17 @@ def _release_at_exit() -> None:
         release(spark)
 
 
-def materialize(df: DataFrame, name: str, *, rows: int | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, *, rows: int | None = None, apart: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Where a bound on its rows is known, no more tasks write than the rows need, so that a small table
-    has few files however many partitions it comes in; their number grows with the rows.
+    has few files however many partitions it comes in; their number grows with the rows. With ``apart``
+    a shuffle brings the rows to those tasks, for rows that are dear to make: as many tasks as before make them.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     if rows is not None and (files := max(1, -(-rows // ROWS_A_FILE))) < partitions(spark):
-        df = df.coalesce(files)
+        df = df.repartition(files) if apart else df.coalesce(files)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
